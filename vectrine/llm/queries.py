@@ -7,10 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrine.llm.ballhash import near_groups, near_pairs
+from vectrine.llm.knn import nearest, raw_bytes
 from vectrine.llm.leakage import exact_leaks, leaks
 from vectrine.llm.quality import is_junk, text_quality
 from vectrine.llm.tokenize import encode_texts
-from vectrine.session import table
+from vectrine.operators.records import usable_records
+from vectrine.session import materialize, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,6 +24,42 @@ def query(f):
     return f
 
 
+#: Elements of a usable vector.
+WIDTH = 128
+
+
+def usable(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """Current usable records, written once: ``(id, vector, *extra)``."""
+    return materialize(usable_records(table(spark, sf_dir, "vectors"), *extra, dimension=WIDTH), "usable")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(usable(spark, sf_dir), WIDTH)
+
+
+@query
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable id with its group of near copies and its number of links."""
+    return near_groups(usable(spark, sf_dir), WIDTH)
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, probes = usable(spark, sf_dir), table(spark, sf_dir, "knn_probes")
+    most = probes.agg(F.max("k")).first()[0] or 1
+    asked = probes.where(F.col("k") > 0).join(records, "id").select(F.col("probe_id").alias("query"), F.col("id").alias("own"), "k", raw_bytes("vector").alias("raw"))
+    return nearest(records, asked, WIDTH, most).select(F.col("query").alias("probe_id"), "id")
+
+
+@query
+def p6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every usable record."""
+    records = usable(spark, sf_dir)
+    asked = records.select(F.col("id").alias("query"), F.col("id").alias("own"), F.lit(10).alias("k"), raw_bytes("vector").alias("raw"))
+    return nearest(records, asked, WIDTH, 10, keep=10).select(F.col("query").alias("id"), F.col("id").alias("near_id"), "n", F.round("similarity", 9).alias("similarity"))
+
+
 @query
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
@@ -51,6 +90,16 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_chars", "n_lines", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuation_share", "common_share")])
 
 
+USABLE = """
+u AS (SELECT id, vector::DOUBLE[] AS v FROM (
+  SELECT id, vector, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN "timestamp" IS NULL OR "timestamp" = 0 THEN last_accessed ELSE "timestamp" END DESC NULLS LAST, ingested_at DESC NULLS LAST) AS n
+  FROM vectors WHERE id IS NOT NULL) WHERE n = 1 AND len(vector) = 128 AND len(list_filter(vector, lambda x: isfinite(x))) = 128 AND len(list_filter(vector, lambda x: x <> 0)) > 0)
+"""
+SQL["p3_found"] = f"WITH {USABLE} SELECT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.99"
+SQL["p6_found"] = f"""WITH {USABLE} SELECT probe_id, id FROM (
+SELECT probe_id, k, b.id, row_number() OVER (PARTITION BY probe_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS n
+FROM knn_probes p JOIN u a ON a.id = p.id JOIN u b ON b.id <> p.id) WHERE n <= k"""
+
 SQL["p8_found"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_items WHERE text IS NOT NULL),

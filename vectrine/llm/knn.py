@@ -71,12 +71,12 @@ def sample_of(usable: DataFrame, rows: int, most: int, seed: int = 0) -> DataFra
     return usable.limit(most)
 
 
-def fit(usable: DataFrame, width: int, sample: int = SAMPLE, seed: int = 7) -> tuple[Tree, int]:
+def fit(usable: DataFrame, width: int, sample: int = SAMPLE, seed: int = 7, leaf_rows: int = 48, alike: float = 2.0) -> tuple[Tree, int]:
     """Tree over ``(id, vector)`` rows, fitted on at most ``sample`` of them, and their number."""
     rows = usable.count()
     picked = sample_of(usable, rows, sample).select("id", "vector").toPandas().sort_values("id")
     x = unit(stacked(picked["vector"], width)) if len(picked) else np.zeros((1, width), np.float32)
-    return Tree(x, seed=seed), rows
+    return Tree(x, leaf_rows, seed=seed, alike=alike), rows
 
 
 def placed(usable: DataFrame, tree: Tree, width: int) -> DataFrame:
@@ -190,6 +190,8 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
                 out["at"] += [i] * len(here)
                 out["shelf"] += here.keys()
                 out["leaves"] += here.values()
+            if not out["at"]:
+                continue
             rows = b.iloc[out["at"]].reset_index(drop=True)
             yield rows.assign(shelf=out["shelf"], leaves=out["leaves"])
 

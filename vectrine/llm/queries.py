@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrine.llm.ballhash import near_groups, near_pairs
+from vectrine.llm.coverage import varied_subset
 from vectrine.llm.knn import nearest, raw_bytes
 from vectrine.llm.leakage import exact_leaks, leaks
+from vectrine.llm.linkage import described_clusters, linked_clusters
 from vectrine.llm.quality import is_junk, text_quality
 from vectrine.llm.tokenize import encode_texts
 from vectrine.operators.records import usable_records
@@ -33,6 +35,25 @@ def usable(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return materialize(usable_records(table(spark, sf_dir, "vectors"), *extra, dimension=WIDTH), "usable")
 
 
+@query
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied subset of a fiftieth of the usable records."""
+    records = usable(spark, sf_dir)
+    return varied_subset(records, -(-records.count() * 2 // 100), WIDTH).select("id", F.round("gain", 6).alias("gain"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_clusters(usable(spark, sf_dir), WIDTH)
+
+
+@query
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by average linkage with their size and their three most typical members."""
+    found = described_clusters(usable(spark, sf_dir, "metadata"), WIDTH)
+    return found.withColumn("closeness", F.round("closeness", 9))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(usable(spark, sf_dir), WIDTH)
@@ -96,6 +117,10 @@ u AS (SELECT id, vector::DOUBLE[] AS v FROM (
   FROM vectors WHERE id IS NOT NULL) WHERE n = 1 AND len(vector) = 128 AND len(list_filter(vector, lambda x: isfinite(x))) = 128 AND len(list_filter(vector, lambda x: x <> 0)) > 0)
 """
 SQL["p3_found"] = f"WITH {USABLE} SELECT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.99"
+SQL["p4_found"] = f"""WITH RECURSIVE {USABLE},
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.74),
+reached(id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM reached r JOIN e ON e.a = r.id WHERE e.b > r.root)
+SELECT min(root) AS cluster_id, id FROM reached GROUP BY id"""
 SQL["p6_found"] = f"""WITH {USABLE} SELECT probe_id, id FROM (
 SELECT probe_id, k, b.id, row_number() OVER (PARTITION BY probe_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS n
 FROM knn_probes p JOIN u a ON a.id = p.id JOIN u b ON b.id <> p.id) WHERE n <= k"""

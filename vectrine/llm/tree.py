@@ -50,12 +50,14 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUND
 class Tree:
     """Tree fitted on a bounded sample. Leaves are numbered so that near ones have near numbers."""
 
-    def __init__(self, sample: np.ndarray, leaf_rows: int = 48, branch: int = BRANCH, seed: int = 7):
+    def __init__(self, sample: np.ndarray, leaf_rows: int = 48, branch: int = BRANCH, seed: int = 7, alike: float = 2.0):
+        """``leaf_rows``: sample rows of a leaf; ``alike``: mean cosine to their centroid from which rows stay together."""
         self.centroids: list[np.ndarray] = []
         self.children: list[list[int]] = []
         self.leaf: list[int] = []
         self.leaves = 0
         leaf_rows = max(leaf_rows, -(-2 * len(sample) // MOST_LEAVES), 1)
+        self.alike = alike
         width = sample.shape[1]
         self._add(np.zeros(width, np.float32))
         self._split(0, sample, leaf_rows, branch, np.random.default_rng(seed))
@@ -72,6 +74,10 @@ class Tree:
 
     def _split(self, node: int, x: np.ndarray, leaf_rows: int, branch: int, rng: np.random.Generator) -> None:
         k = min(branch, -(-len(x) // leaf_rows))
+        if k > 1 and self.alike < 1:
+            mean = x.mean(0)
+            if float((x @ (mean / max(float(np.sqrt(mean @ mean)), 1e-12))).mean()) >= self.alike:
+                k = 1
         if k > 1:
             c, own = k_means(x, k, rng)
             used = np.unique(own)

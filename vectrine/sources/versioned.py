@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,9 +93,12 @@ class VersionedTable:
         df.write.parquet(f"{self.path}/{folder}")
         return self._files(folder)
 
-    def commit(self, add: DataFrame | None = None, remove_files: tuple[str, ...] = (), delete: DataFrame | None = None, about: dict | None = None) -> int:
+    def commit(self, add: DataFrame | None = None, remove_files: tuple[str, ...] = (), delete: DataFrame | None = None, about: dict | None = None, rewrite: bool = False) -> int:
         """Commit a version with added rows, removed files and single deleted rows.
 
+        ``rewrite`` says that the rows are those of the version before in other
+        files, with its deletion vectors applied: no record has changed.
+
         ``delete`` holds ``(_file, _position)`` as given by :meth:`read` with
         ``positions=True``. It is stored as a file of its own, one deletion
         vector for all files of the commit. Deleting a row twice, or naming a
@@ -102,7 +106,7 @@ class VersionedTable:
         """
         old = self.latest()
         files = [f for f in old["files"] if f not in set(remove_files)]
-        deleted = {k: v for k, v in old["deleted"].items()}
+        deleted = {} if rewrite else dict(old["deleted"])
         if add is not None:
             files += self._write(add)
         if delete is not None:
@@ -110,7 +114,11 @@ class VersionedTable:
             delete.select(FILE, POSITION).distinct().write.parquet(f"{self.path}/{vector}")
             deleted[vector] = old["version"] + 1
         schema = add.schema.json() if add is not None else old["schema"]
-        return self._publish({"version": old["version"] + 1, "files": files, "deleted": deleted, "schema": schema, "about": about or {}})
+        return self._publish({"version": old["version"] + 1, "files": files, "deleted": deleted, "schema": schema, "about": about if about is not None else old["about"], "rewrite": rewrite})
+
+    def compact(self) -> int:
+        """Rewrite all files into new ones without the deleted rows."""
+        return self.commit(add=self.read(), remove_files=tuple(self.latest()["files"]), rewrite=True)
 
     def commit_each(self, df: DataFrame, version: str, count: int, about: Callable[[int], dict] = lambda _: {}) -> None:
         """Commit ``count`` versions at once, that of a row being in column ``version`` (1 to ``count``).
@@ -164,6 +172,12 @@ class VersionedTable:
         deletion vector of the newer version names.
         """
         a, b = self.manifest(old), self.manifest(new)
+        steps = [self.manifest(v) for v in self.versions() if old < v <= new]
+        if any(s.get("rewrite") for s in steps) and len(steps) > 1:
+            parts = [self.diff(s["version"] - 1, s["version"]) for s in steps if not s.get("rewrite")]
+            return reduce(DataFrame.unionByName, parts) if parts else self._load(b, [], False).withColumn("_change", F.lit(""))
+        if steps and steps[0].get("rewrite"):
+            return self._load(b, [], False).withColumn("_change", F.lit(""))
         came, went = sorted(set(b["files"]) - set(a["files"])), sorted(set(a["files"]) - set(b["files"]))
         stay = sorted(set(a["files"]) & set(b["files"]))
         fresh = [v for v in b["deleted"] if v not in a["deleted"]]

@@ -28,8 +28,8 @@ from vectrine.llm.knn import matrix, stacked
 from vectrine.llm.tree import unit, unit64
 from vectrine.session import materialize
 
-#: Bands, product of frequency and distance at the similarity limit, bits of the sketch, rows of a bucket.
-BANDS, STEP, SKETCH, BUCKET_ROWS = 12, 0.424, 128, 49_152
+#: Bands, products of frequency and distance at the similarity limit for bands and sketch, bits of the sketch, rows of a bucket.
+BANDS, STEP, SKETCH_STEP, SKETCH, BUCKET_ROWS = 12, 0.424, 0.7, 128, 49_152
 CODE = np.dtype([("key", "<i8"), ("band", "<u4"), ("own", "<u4"), ("sketch", "<u8", (SKETCH // 64,))])
 
 
@@ -38,23 +38,25 @@ def band_bits(rows: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(rows, 2))) + 7, 18, 31))
 
 
-def frequency(least: float) -> float:
+def frequency(least: float, step: float = STEP) -> float:
     """Frequency of the projections at which one bit in nine differs between vectors of similarity ``least``.
 
-    With 12 bands, 1 pair in 10,000 at the very limit meets in none of them, and fewer above it.
+    With 12 bands, 1 pair in 10,000 at the very limit meets in none of them, and
+    fewer above it. The sketch's frequency is higher: it has bits enough to tell
+    vectors just below the limit from those above it.
     """
-    return STEP / max(np.sqrt(max(0.0, 2 - 2 * least)), 1e-4)
+    return step / max(np.sqrt(max(0.0, 2 - 2 * least)), 1e-4)
 
 
-def flip_probability(distance: float, least: float) -> float:
+def flip_probability(distance: float, least: float, step: float = STEP) -> float:
     """Probability that a bit differs between unit vectors at this distance."""
-    t = frequency(least) * distance / np.pi
+    t = frequency(least, step) * distance / np.pi
     return 0.5 * (1 - 8 / np.pi**2 * sum(np.exp(-((m * np.pi * t) ** 2) / 2) / m**2 for m in range(1, 200, 2)))
 
 
 def sketch_limit(least: float) -> int:
     """Differing bits of the sketch that a pair of similarity ``least`` exceeds about once in 30,000 times."""
-    p = flip_probability(np.sqrt(max(0.0, 2 - 2 * least)), least)
+    p = flip_probability(np.sqrt(max(0.0, 2 - 2 * least)), least, SKETCH_STEP)
     return int(np.ceil(SKETCH * p + 4 * np.sqrt(SKETCH * p * (1 - p)) + 1))
 
 
@@ -65,7 +67,8 @@ class Fingerprints:
         rng = np.random.default_rng(seed)
         n = BANDS * bits + SKETCH
         self.bits, self.width = bits, width
-        self.w = (rng.standard_normal((width, n)) * (frequency(least) / np.pi)).astype(np.float32)
+        step = np.where(np.arange(n) < BANDS * bits, frequency(least), frequency(least, SKETCH_STEP))
+        self.w = (rng.standard_normal((width, n)) * (step / np.pi)).astype(np.float32)
         self.shift = rng.random(n).astype(np.float32)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -64,9 +64,9 @@ class Index:
 
 
 def sample_of(usable: DataFrame, rows: int, most: int, seed: int = 0) -> DataFrame:
-    """About ``most`` of the rows, and never more, chosen by a hash of the id."""
+    """A little less than ``most`` of the rows, and never more, chosen by a hash of the id: the same ones each time."""
     if rows > most:
-        cut = int(2**32 * min(1.0, 1.05 * most / rows))
+        cut = int(2**32 * most / rows * (1 - 4 / most**0.5))
         usable = usable.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**32)) < cut)
     return usable.limit(most)
 
@@ -168,7 +168,8 @@ def calibrate(base: DataFrame, usable: DataFrame, index: Index, k: int, target:
 def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep: int | None = None, least: float | None = None) -> DataFrame:
     """``(query, id, similarity, n)``: for each query its ``k`` most similar rows other than its own id.
 
-    ``queries`` are ``(query, own, k, raw)``; ``own`` is the id left out. Rows
+    ``queries`` are ``(query, own, k, raw)``; ``own`` is the id left out. A
+    repeated query counts once, with its greatest ``k``; a null one is left out. Rows
     of equal similarity are taken by id, the smallest first. Similarities are
     cosines in double precision of the stored vectors.
     """
@@ -195,6 +196,7 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
             rows = b.iloc[out["at"]].reset_index(drop=True)
             yield rows.assign(shelf=out["shelf"], leaves=out["leaves"])
 
+    queries = queries.where(F.col("query").isNotNull())
     routed = queries.select("query", "own", "k", "raw").mapInPandas(route, f"query {kind}, own string, k int, raw binary, shelf int, leaves array<int>")
     shelved = on_shelves(base, index)
 
@@ -245,7 +247,8 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
         return pd.DataFrame({"query": asked["query"].to_numpy()[fq[last]], "id": names[last], "similarity": exact[last]})
 
     found = shelved.groupBy("shelf").cogroup(routed.groupBy("shelf")).applyInPandas(meet, f"query {kind}, id string, similarity double")
-    limits = queries.select("query", "k")
+    limits = queries.groupBy("query").agg(F.max("k").alias("k"))
+    found = found.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     ranked = found.withColumn("n", F.row_number().over(best))
     if keep is not None:  # one k for all queries

@@ -153,7 +153,6 @@ def finish(p: dict, common: frozenset[str]) -> tuple[int, int, int, int, int, in
     return tuple(int(out[k]) for k in ("words", "chars", "alnum", "hits", "lines", "ends"))
 
 
-EDGE = "array<string>"
 STATE = "words bigint, chars bigint, alnum bigint, hits bigint, open boolean, left string, right string, lines bigint, ends bigint, flat boolean, first string, last string"
 PLAIN, CODED = ("words", "chars", "alnum", "hits", "open", "lines", "ends", "flat"), ("left", "right", "first", "last")
 
@@ -208,14 +207,14 @@ def text_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
             total = combine(total, s, common, longest)
         return pd.DataFrame([[rows["row"].iloc[0], rows["k"].iloc[0], rows["no"].iloc[0] // FAN_IN, *_pack(total)]], columns=["row", "k", "no", *names])
 
-    docs = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    docs = documents.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))  # a null key stays one
     size = F.coalesce(F.length("t"), F.lit(0))
-    short = docs.where(size <= chunk).mapInPandas(one, f"k {kind}, {schema}")
+    short = docs.where(size <= chunk).mapInPandas(one, f"k string, {schema}")
     long = docs.where(size > chunk)
     pieces = F.ceil(F.length("t") / chunk).cast("int")
     cut = long.withColumn("row", F.monotonically_increasing_id()).withColumn("no", F.explode(F.sequence(F.lit(0), pieces - 1)))
     cut = cut.select("row", "k", F.col("no").cast("bigint").alias("no"), F.substring(F.col("t"), F.col("no") * chunk + 1, F.lit(chunk)).alias("t"))
-    state = f"row bigint, k {kind}, no bigint, " + ", ".join(f"{n} {dict(x.split() for x in STATE.split(', '))[n]}" for n in names)
+    state = "row bigint, k string, no bigint, " + ", ".join(f"{n} {dict(x.split() for x in STATE.split(', '))[n]}" for n in names)
     part = cut.mapInPandas(many, state)
     # level by level; 64 ** 3 chunks hold any string that Spark can
     for _ in range(3):
@@ -226,10 +225,10 @@ def text_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
             made = [finish(_unpack(r), common) for r in b[names].itertuples(index=False, name=None)]
             yield pd.concat([b[["k"]].reset_index(drop=True), pd.DataFrame(made, columns=[x.split()[0] for x in schema.split(", ")])], axis=1)
 
-    every = short.unionByName(part.mapInPandas(end, f"k {kind}, {schema}"))
+    every = short.unionByName(part.mapInPandas(end, f"k string, {schema}"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return every.select(
-        F.col("k").alias(key), "n_words", F.col("chars").alias("n_chars"), "n_lines", ratio("chars", "n_words").alias("mean_word_length"),
+        F.col("k").cast(kind).alias(key), "n_words", F.col("chars").alias("n_chars"), "n_lines", ratio("chars", "n_words").alias("mean_word_length"),
         F.when(F.col("chars") > 0, (F.col("chars") - F.col("alnum")) / F.col("chars")).alias("symbol_ratio"),
         ratio("ends", "n_lines").alias("punctuation_share"), ratio("hits", "n_words").alias("common_share"),
     )

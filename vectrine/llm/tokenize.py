@@ -3,8 +3,11 @@
 In each partition the texts are cut into words by the tokenizer's pattern, and
 each distinct word is encoded once: its token positions are rows, joined with
 the merge table. A recursive query contracts in each round the leftmost pair of
-minimum rank of each word, until no word has a pair left; an ordered
-aggregation gives the ids of a word. No model is trained here.
+minimum rank of each word, and the further pairs of that rank from left to
+right, until no word has a pair left; an ordered aggregation gives the ids of a
+word. (A merge never makes a pair of lower rank, as the rank of a token is above
+those of its parts; so these pairs would follow one after the other anyway, and
+a long word takes a round for each rank instead of one for each merge.) No model is trained here.
 """
 
 from __future__ import annotations
@@ -25,18 +28,26 @@ with recursive step as (
     select word, pos, token, 0 as round from start
     union all
     select word, pos, token, round from (
-        with pair as (
-            select s.word, s.pos, s.round, m.rank, m.made, s.next_pos
-            from (select *, lead(token) over w as next_token, lead(pos) over w as next_pos from step window w as (partition by word order by pos)) s
-            join merges m on m.first = s.token and m.second = s.next_token
+        with near as (
+            select *, lead(token) over w as next_token, lead(pos) over w as next_pos, row_number() over w as place
+            from step window w as (partition by word order by pos)
         ),
-        best as (select word, min(rank * 4294967296 + pos) as key, max(round) as round from pair group by word),
-        chosen as (select p.word, p.pos, p.next_pos, p.made from pair p join best b on b.word = p.word and b.key = p.rank * 4294967296 + p.pos)
+        pair as (
+            select n.word, n.pos, n.next_pos, n.place, m.rank, m.made
+            from near n join merges m on m.first = n.token and m.second = n.next_token
+        ),
+        best as (select word, min(rank) as rank from pair group by word),
+        same as (
+            select p.*, p.place - row_number() over (partition by p.word order by p.pos) as island
+            from pair p join best b on b.word = p.word and b.rank = p.rank
+        ),
+        chosen as (select * from same qualify row_number() over (partition by word, island order by pos) % 2 = 1),
+        gone as (select word, next_pos as pos from chosen)
         select s.word, s.pos, coalesce(c.made, s.token) as token, s.round + 1 as round
         from step s
-        join best b on b.word = s.word
+        semi join best b on b.word = s.word
         left join chosen c on c.word = s.word and c.pos = s.pos
-        where not exists (select 1 from chosen d where d.word = s.word and d.next_pos = s.pos)
+        anti join gone g on g.word = s.word and g.pos = s.pos
     )
 ),
 last as (select word, max(round) as round from step group by word)
@@ -126,5 +137,5 @@ def encode_texts(documents: DataFrame, ranks_path: str, pattern: str, key: str =
             if encoder.held > REMEMBERED:
                 encoder.known, encoder.held = {}, 0
 
-    made = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>")
-    return made.select(F.col("k").alias(key), F.col("ids").alias(column))
+    made = documents.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k string, ids array<int>")
+    return made.select(F.col("k").cast(kind).alias(key), F.col("ids").alias(column))

@@ -97,6 +97,12 @@ class Tree:
         self.leaf[node] = self.leaves
         self.leaves += 1
 
+    def directions(self) -> np.ndarray:
+        """Centroid of each leaf at length 1."""
+        node = np.argsort(np.where(np.array(self.leaf) >= 0, self.leaf, len(self.leaf)), kind="stable")[: self.leaves]
+        c = self.c[node]
+        return c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each row: down to the nearest child at each node."""
         out = np.zeros(len(x), np.int32)

@@ -12,6 +12,7 @@ two clusters, so their connected components follow as an exact check.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,8 +26,14 @@ from vectrine.llm.knn import Index, build, fit, matrix, on_shelves, placed
 from vectrine.llm.tree import unit, unit64
 from vectrine.session import materialize, release
 
-#: Rows of a shelf, leaves that a point looks at, or looks at if its cluster on the shelf has few members, rounds at most, salts of a hot cluster.
-SHELF, VISITS, WIDE_VISITS, FEW, MOST_ROUNDS, SALTS = 4_096, 12, 96, 64, 100, 16
+#: Rows of a shelf; leaves that a point looks at; how many if its cluster on the shelf has fewer than FEW members, and how many then at most.
+SHELF, VISITS, FEW, FEW_VISITS, WIDE_VISITS = 8_192, 3, 64, 24, 96
+#: Members of a cluster on a shelf from which it counts for the reach of its leaves.
+COHERENT = 10
+#: Flags beside the number of a shelf.
+FEW_MARK, LOOSE_MARK = 2**40, 2**41
+#: Rounds at most, salts of a hot cluster.
+MOST_ROUNDS, SALTS = 100, 16
 
 
 def merge_rounds(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +86,7 @@ def shelf_clusters(shelved: DataFrame, width: int, least: float) -> DataFrame:
             p, q = label[i + a], label[j]
             seen.append(np.unique(np.stack([p, q], 1)[p < q], axis=0))
         links = np.unique(np.concatenate(seen), axis=0)
-        out = pd.DataFrame({"kind": "m", "a": ids, "b": name[label], "raw": group["raw"], "leaf": group["leaf"], "n": np.where(n[label] < FEW, -1 - shelf, shelf)})
+        out = pd.DataFrame({"kind": "m", "a": ids, "b": name[label], "raw": group["raw"], "leaf": group["leaf"], "n": shelf + (n[label] < FEW) * FEW_MARK + (n[label] < COHERENT) * LOOSE_MARK})
         sums = pd.DataFrame({"kind": "s", "a": name, "b": None, "raw": [t.tobytes() for t in total], "leaf": 0, "n": n})
         pairs = pd.DataFrame({"kind": "l", "a": name[links[:, 0]], "b": name[links[:, 1]], "raw": None, "leaf": 0, "n": 0})
         return pd.concat([x for x in (out, sums, pairs) if len(x)])
@@ -90,36 +97,63 @@ def shelf_clusters(shelved: DataFrame, width: int, least: float) -> DataFrame:
 def border_links(members: DataFrame, index: Index, least: float) -> DataFrame:
     """``(a, b)``: clusters of different shelves with a pair of points of similarity ``least`` or more.
 
-    ``members`` are ``(id, cluster, raw, leaf, shelf, few)``. Only points of
+    ``members`` are ``(id, cluster, raw, leaf, shelf, few, loose)``. Only points of
     which one of the nearest leaves is on another shelf are sent there. Points of
-    a cluster of few members, which may have strayed from their like, look
-    further.
+    a large cluster look at few leaves, and at one shelf of a leaf that has
+    several: the cluster has many of them. Points of a small one, which may have
+    strayed from their like, look at more, on all shelves: and further at each
+    leaf whose large clusters can hold a point that is similar enough, by the
+    triangle inequality on the angles from its centroid.
     """
+    center = index.tree.directions()
+    nearest = members.sparkSession.sparkContext.broadcast(center)
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = nearest.value
+        for b in batches:
+            if len(b):
+                leaf = b["leaf"].to_numpy()
+                cosine = np.einsum("ij,ij->i", unit(matrix(b["raw"], index_width)), c[leaf])
+                yield pd.DataFrame({"leaf": leaf, "cosine": cosine}).groupby("leaf", as_index=False).min()
+
+    index_width = index.width
+    found = members.where("not loose").select("raw", "leaf").mapInPandas(reach, "leaf int, cosine float").groupBy("leaf").agg(F.min("cosine").alias("c")).collect()
+    bound = np.full(index.tree.leaves, 2.0)
+    for leaf, c in found:  # bounded by the leaves
+        angle = np.arccos(np.clip(c, -1, 1)) + np.arccos(np.clip(least, -1, 1)) + 1e-3
+        bound[leaf] = np.cos(min(angle, np.pi))
+    limits = members.sparkSession.sparkContext.broadcast(bound)
     shared, width = members.sparkSession.sparkContext.broadcast(index), index.width
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
+        ix, c, limit = shared.value, nearest.value, limits.value
         for b in batches:
+            if not len(b):
+                continue
             at, shelf, leaves = [], [], []
-            bins = [[]] * len(b)
+            x, few_, names = unit(matrix(b["raw"], width)), b["few"].to_numpy(), b["id"].to_numpy()
+            bins: list = [None] * len(b)
             for few, visits in ((False, VISITS), (True, WIDE_VISITS)):
-                w = np.flatnonzero(b["few"].to_numpy() == few)
+                w = np.flatnonzero(few_ == few)
                 if len(w):
-                    for i, found in zip(w, ix.tree.best_bins(unit(matrix(b["raw"].iloc[w], width)), visits)):
-                        bins[i] = found
+                    within = x[w] @ c.T >= limit if few else None
+                    for n, (i, some) in enumerate(zip(w, ix.tree.best_bins(x[w], visits))):
+                        bins[i] = some if not few else [leaf for k, leaf in enumerate(some) if k < FEW_VISITS or within[n, leaf]]
             for i, (own, some) in enumerate(zip(b["shelf"], bins)):
                 here: dict[int, list[int]] = {}
                 for leaf in some:
-                    for s in range(ix.first[leaf], ix.first[leaf] + ix.salts[leaf]):
+                    first, salts = int(ix.first[leaf]), int(ix.salts[leaf])
+                    shelves = range(first, first + salts) if few_[i] else [first + zlib.crc32(names[i].encode()) % salts]
+                    for s in shelves:
                         if s != own:
-                            here.setdefault(int(s), []).append(leaf)
+                            here.setdefault(s, []).append(leaf)
                 at += [i] * len(here)
                 shelf += here.keys()
                 leaves += here.values()
             if at:
                 yield pd.DataFrame({"cluster": b["cluster"].to_numpy()[at], "raw": b["raw"].to_numpy()[at], "shelf": shelf, "leaves": leaves})
 
-    sent = members.select("cluster", "raw", "shelf", "few").mapInPandas(route, "cluster string, raw binary, shelf int, leaves array<int>")
+    sent = members.select("id", "cluster", "raw", "shelf", "few").mapInPandas(route, "cluster string, raw binary, shelf int, leaves array<int>")
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[str, str]] = set()
@@ -192,7 +226,7 @@ class Clusters:
         base = placed(usable, tree, width)
         index = build(base, tree, width, rows, shelf_rows)
         parts = materialize(shelf_clusters(on_shelves(base, index), width, least), "parts")
-        self.members = parts.where("kind = 'm'").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "raw", "leaf", F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("n")).cast("int").alias("shelf"), (F.col("n") < 0).alias("few"))
+        self.members = parts.where("kind = 'm'").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "raw", "leaf", (F.col("n") % FEW_MARK).cast("int").alias("shelf"), (F.col("n") >= FEW_MARK).alias("few"), (F.col("n") >= LOOSE_MARK).alias("loose"))
         self.sums = parts.where("kind = 's'").select(F.col("a").alias("cluster"), F.col("raw").alias("sum"), "n")
         local = parts.where("kind = 'l'").select("a", "b")
         self.links = materialize(local.unionByName(border_links(self.members, index, least)).distinct(), "links")

@@ -29,7 +29,7 @@ from vectrine.llm.tree import unit, unit64
 from vectrine.session import materialize
 
 #: Bands, products of frequency and distance at the similarity limit for bands and sketch, bits of the sketch, rows of a bucket.
-BANDS, STEP, SKETCH_STEP, SKETCH, BUCKET_ROWS = 12, 0.424, 0.7, 128, 49_152
+BANDS, STEP, SKETCH_STEP, SKETCH, BUCKET_ROWS = 12, 0.424, 0.7, 128, 98_304
 CODE = np.dtype([("key", "<i8"), ("band", "<u4"), ("own", "<u4"), ("sketch", "<u8", (SKETCH // 64,))])
 
 

@@ -80,18 +80,17 @@ def slow_alignment(a, b):
 small = st.lists(st.integers(0, 4), max_size=14)
 
 
-@settings(max_examples=300, deadline=None)
-@given(small, small)
-def test_alignment(a, b):
-    score, took = L.smith_waterman(np.array(a, np.uint64), np.array(b, np.uint64))
-    assert score == slow_alignment(a, b) and 0 <= took <= len(b)
+def slow_run(a, b):
+    subs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    return max((j - i for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in subs), default=0)
 
 
 @settings(max_examples=200, deadline=None)
-@given(small, small)
-def test_longest_run(a, b):
-    subs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
-    assert L.longest_run(np.array(a), np.array(b)) == max((j - i for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in subs), default=0)
+@given(st.lists(st.tuples(small, small), min_size=1, max_size=5))
+def test_alignment(pairs):
+    codes = [[np.array(x, np.uint64) for x in side] for side in zip(*pairs)]
+    for (a, b), run, score, took in zip(pairs, *L.align(*codes)):
+        assert run == slow_run(a, b) and score == slow_alignment(a, b) and 0 <= took <= len(b)
 
 
 @given(st.lists(st.integers(0, 30), min_size=12, max_size=40), st.integers(0, 3))

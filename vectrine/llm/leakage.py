@@ -1,8 +1,8 @@
 """Passages of held-out evaluation items in a corpus: rare n-gram seeds, then local alignment.
 
 Every window of ``span`` words of an item has the rarest of its n-grams as a
-seed, so no copied window goes unseen, and frequent phrases seed nothing as
-long as the window has a rarer one. Documents with a seed are joined to its
+seed, so no copied window goes unseen, and so have all rare ones; frequent
+phrases seed nothing as long as the window has a rarer one. Documents with a seed are joined to its
 items and scored by Smith-Waterman alignment of the words.
 """
 
@@ -19,8 +19,14 @@ from pyspark.sql import functions as F
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 SPAN, GRAM = 12, 6
+#: Documents that an n-gram may be in to be rare by itself; the rarest of a window is a seed however frequent.
+RARE = 100
+#: Different n-grams that a document and an item must share to be aligned; 12 words in a row share 7.
+LEAST_SHARED = 3
 #: Alignment scores of equal words, of different words and of a word left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Pairs that are aligned at once.
+PAIRS = 256
 #: Items whose words are sent to all executors at most.
 MOST_ITEM_WORDS = 5_000_000
 
@@ -30,9 +36,19 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def word_codes(words: list[str]) -> np.ndarray:
+class Codes(dict):
+    """64-bit hashes of words; those of the first million words are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 1_000_000:
+            self[word] = code
+        return code
+
+
+def word_codes(words: list[str], codes: Codes | None = None) -> np.ndarray:
     """64-bit hash of each word."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map((Codes() if codes is None else codes).__getitem__, words), np.uint64, len(words))
 
 
 def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -48,61 +64,67 @@ def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Most successive words that both texts share."""
-    best, row = 0, np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        new = np.zeros_like(row)
-        new[1:] = np.where(b == x, row[:-1] + 1, 0)
-        best, row = max(best, int(new.max())), new
-    return best
-
-
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of two word sequences, and the words of ``b`` that it takes.
+def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair: longest run of equal words, best local alignment score, words of the item that it takes.
 
-    Rows are computed at once: the running maximum turns gaps along a row into
-    a prefix maximum.
+    Smith-Waterman over all pairs at once, a row of every table for each word
+    of the documents. The running maximum turns gaps along a row into a prefix
+    maximum.
     """
-    n = len(b)
-    if not len(a) or not n:
-        return 0, 0
-    steps = np.arange(n + 1, dtype=np.int64) * -GAP
-    row, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    best, took = 0, 0
-    for x in a:
-        diagonal = row[:-1] + np.where(b == x, MATCH, MISMATCH)
-        up = row[1:] + GAP
-        new, begun = np.zeros(n + 1, np.int64), np.arange(n + 1)
-        new[1:] = np.maximum(0, np.maximum(diagonal, up))
-        begun[1:] = np.where(new[1:] == 0, np.arange(1, n + 1), np.where(diagonal >= up, start[:-1], start[1:]))
+    p, m, n = len(docs), max(map(len, docs), default=0), max(map(len, items), default=0)
+    best, took, run = np.zeros(p, np.int64), np.zeros(p, np.int64), np.zeros(p, np.int64)
+    if not m or not n:
+        return run, best, took
+    a, b = np.zeros((p, m), np.uint64), np.zeros((p, n), np.uint64)
+    long_a = np.array([len(x) for x in docs])
+    inside = np.arange(n)[None] < np.array([len(x) for x in items])[:, None]
+    for i, (x, y) in enumerate(zip(docs, items)):
+        a[i, : len(x)], b[i, : len(y)] = x, y
+    place, each = np.arange(n + 1)[None], np.arange(p)
+    steps = place * -GAP
+    row, start, length = np.zeros((p, n + 1), np.int64), np.broadcast_to(place, (p, n + 1)), np.zeros((p, n), np.int64)
+    for i in range(m):
+        same = (b == a[:, i, None]) & inside & (i < long_a)[:, None]
+        length = np.where(same, np.concatenate([np.zeros((p, 1), np.int64), length[:, :-1]], 1) + 1, 0)
+        run = np.maximum(run, length.max(1))
+        diagonal = row[:, :-1] + np.where(same, MATCH, MISMATCH)
+        up = row[:, 1:] + GAP
+        new, begun = np.zeros((p, n + 1), np.int64), np.broadcast_to(place, (p, n + 1)).copy()
+        new[:, 1:] = np.maximum(0, np.maximum(diagonal, up))
+        begun[:, 1:] = np.where(new[:, 1:] == 0, place[:, 1:], np.where(diagonal >= up, start[:, :-1], start[:, 1:]))
         lifted = new + steps  # gap along the row
-        top = np.maximum.accumulate(lifted)
-        at = np.maximum.accumulate(np.where(lifted == top, np.arange(n + 1), 0))
+        top = np.maximum.accumulate(lifted, axis=1)
+        at = np.maximum.accumulate(np.where(lifted == top, place, 0), axis=1)
         better = top - steps > new
-        new, begun = np.where(better, top - steps, new), np.where(better, begun[at], begun)
-        j = int(new.argmax())
-        if new[j] > best:
-            best, took = int(new[j]), j - int(begun[j])
+        begun = np.where(better, np.take_along_axis(begun, at, 1), begun)
+        new = np.where(better, top - steps, new)
+        j = new.argmax(1)
+        more = new[each, j] > best
+        best = np.where(more, new[each, j], best)
+        took = np.where(more, j - begun[each, j], took)
         row, start = new, begun
-    return best, took
+    return run, best, took
 
 
 def seeds(item: np.ndarray, frequency: dict[int, int], span: int = SPAN, n: int = GRAM) -> set[int]:
-    """Rarest n-gram of each window of ``span`` words; among equally rare ones the smallest hash."""
-    grams = gram_codes(item, n)
-    order = [(frequency.get(int(g), 0), int(g)) for g in grams]
+    """Rare n-grams that the corpus has, and the rarest of each window of ``span`` words; of equally rare ones the smallest hash.
+
+    A window without any that the corpus has is in no document. The other rare
+    ones find passages of which only a part is left.
+    """
+    order = [(frequency.get(int(g), 0) or np.inf, int(g)) for g in gram_codes(item, n)]
     wide = span - n + 1
-    return {min(order[i : i + wide])[1] for i in range(len(order) - wide + 1)} if len(order) >= wide else set()
+    best = (min(order[i : i + wide]) for i in range(len(order) - wide + 1))
+    return {g for f, g in best if f != np.inf} | {g for f, g in order if f <= RARE and len(order) >= wide}
 
 
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, n: int = GRAM) -> DataFrame:
-    """``(doc_id, item_id, run, score, share)`` of each document and item that share a seed.
+    """``(doc_id, item_id, run, score, share)`` of each document and item that share a seed and ``LEAST_SHARED`` n-grams in all.
 
     ``run`` is the number of successive words in common, ``score`` that of the
     best local alignment and ``share`` the part of the item's words that it
-    takes. Items of fewer than ``span`` words, and null or empty texts, give no
-    row. Repeated documents or items each give their own rows.
+    takes. Items of fewer than ``span`` words or without an id, and null or empty
+    texts, give no row. Repeated documents or items each give their own rows.
 
     The held-out items are a bounded set: beyond ``MOST_ITEM_WORDS`` words they
     are refused, not cut. Frequencies are counted over all documents.
@@ -111,19 +133,19 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, n: int = GRA
     size = items.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("m")).first()
     if (size.n or 0) > 6 * MOST_ITEM_WORDS:
         raise ValueError(f"the items have more than about {MOST_ITEM_WORDS} words")
-    texts = [(r.item_id, word_codes(words_of(r.text))) for r in items.select("item_id", "text").collect()]
+    texts = [(r.item_id, word_codes(words_of(r.text))) for r in items.where(F.col("item_id").isNotNull()).select("item_id", "text").collect()]
     texts = [(i, w) for i, w in texts if len(w) >= span]
-    schema = "doc_id bigint, item_id bigint, run int, score int, share double"
+    schema = "doc_id string, item_id bigint, run int, score int, share double"
     if not texts:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     wanted = np.unique(np.concatenate([gram_codes(w, n) for _, w in texts]))
     known = spark.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, total = known.value, np.zeros(len(known.value), np.int64)
+        grams, total, codes = known.value, np.zeros(len(known.value), np.int64), Codes()
         for b in batches:
             for t in b["text"]:
-                g = np.unique(gram_codes(word_codes(words_of(t)), n))
+                g = np.unique(gram_codes(word_codes(words_of(t), codes), n))
                 at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
                 np.add.at(total, at[grams[at] == g], 1)
         some = np.flatnonzero(total)
@@ -136,23 +158,35 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, n: int = GRA
     for k, (_, w) in enumerate(texts):
         for s in seeds(w, frequency, span, n):
             of.setdefault(s, []).append(k)
-    plan = spark.sparkContext.broadcast((texts, np.array(sorted(of), np.uint64), of))
+    plan = spark.sparkContext.broadcast((texts, [np.unique(gram_codes(w, n)) for _, w in texts], np.array(sorted(of), np.uint64), of))
+    enough = min(LEAST_SHARED, span - n + 1)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items_, rare, by = plan.value
+        (items_, grams, rare, by), codes = plan.value, Codes()
         for b in batches:
-            out = []
+            pairs: list[tuple] = []
             for doc, t in zip(b["doc_id"], b["text"]):
-                w = word_codes(words_of(t))
+                w = word_codes(words_of(t), codes)
                 g = gram_codes(w, n)
                 at = np.minimum(np.searchsorted(rare, g), len(rare) - 1)
-                for k in sorted({k for s in set(g[rare[at] == g].tolist()) for k in by[s]}):
+                hit = set(g[rare[at] == g].tolist())
+                all_ = np.unique(g) if hit else g
+                for k in sorted({k for s in hit for k in by[s]}):
                     item, own = items_[k]
-                    best, took = smith_waterman(w, own)
-                    out.append((doc, item, longest_run(w, own), best, min(1.0, took / len(own))))
+                    place = np.minimum(np.searchsorted(all_, grams[k]), len(all_) - 1)
+                    if (all_[place] == grams[k]).sum() < min(enough, len(grams[k])):
+                        continue
+                    pairs.append((doc, item, w, own))
+            pairs.sort(key=lambda x: len(x[2]))  # alike lengths side by side
+            out = []
+            for i in range(0, len(pairs), PAIRS):
+                some = pairs[i : i + PAIRS]
+                found = align([x[2] for x in some], [x[3] for x in some])
+                out += [(d, k, int(r), int(s), min(1.0, int(t) / len(own))) for (d, k, _, own), r, s, t in zip(some, *found)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run", "score", "share"])
 
-    return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(score, schema)
+    found = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(score, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def exact_leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:

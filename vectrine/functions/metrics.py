@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,8 +108,6 @@ def register(name: str, make: Metric) -> None:
 
 def register_python(name: str, calculate: Callable) -> None:
     """Register a Python function of two numpy vectors; it runs batch-wise in a pandas UDF."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

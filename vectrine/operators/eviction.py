@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from vectrine.session import materialize
 
@@ -39,7 +40,7 @@ def value_size(value: object) -> int:
     return OBJECT + sum(CHARACTER * len(k) + value_size(v) for k, v in value.items())
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def metadata_size(texts: pd.Series) -> pd.Series:
     """Bytes that metadata is counted as; 0 where there is none, an empty object where it is broken."""
 

@@ -129,7 +129,7 @@ def file_schemas(parsed: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
 def file_pairs(files: DataFrame) -> DataFrame:
     """``(file_no, former_no)`` of files of which another file of the stream has a lower ``seq_no``. Files without stream or ``seq_no`` have none."""
     order = Window.partitionBy("stream").orderBy("seq_no", "file_no")
-    listed = files.where(F.col("stream").isNotNull() & F.col("seq_no").isNotNull())
+    listed = files.where(F.col("stream").isNotNull() & F.col("seq_no").isNotNull() & F.col("file_no").isNotNull()).select("file_no", "stream", "seq_no").distinct()
     return listed.select("file_no", F.lag("file_no").over(order).alias("former_no")).where(F.col("former_no").isNotNull())
 
 
@@ -337,6 +337,17 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["file_no", "kind", "id", "fields"])
 
 
+def column_names(columns: list[str]) -> list[str]:
+    """Names for columns that differ whatever their case, and from the fixed ones."""
+    out: list[str] = []
+    for c in columns:
+        name = c.replace(".", "_")
+        while name.lower() in {x.lower() for x in out} | {"file_no", "kind", "id", "other"}:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def one_table(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> DataFrame:
     """Every record of every file as ``(file_no, kind, id, <one text column for each consistent field>)``.
 
@@ -356,4 +367,4 @@ def one_table(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> DataFra
     read = told.mapInPandas(_texts, "file_no bigint, kind string, id string, fields map<string,string>").join(maps, "file_no", "left")
     known = F.coalesce(F.map_values("names"), F.array().cast("array<string>"))
     other = F.map_filter("fields", lambda k, _: ~F.array_contains(known, k))
-    return read.select("file_no", "kind", "id", *[F.col("fields")[F.col("names")[F.lit(c)]].alias(c.replace(".", "_")) for c in columns], other.alias("other"))
+    return read.select("file_no", "kind", "id", *[F.col("fields")[F.col("names")[F.lit(c)]].alias(n) for c, n in zip(columns, column_names(columns))], other.alias("other"))

@@ -495,3 +495,48 @@ def x1(spark, sf_dir):
 def x3(spark, sf_dir):
     met = M.meets_target(F.col("vec_id"), F.lit(100.0), F.lit(0.3), F.col("vec_id") % 2 == 0)
     return embeddings(spark, sf_dir).select("vec_id", met.alias("met"))
+
+
+# validation, compression, streams
+
+
+@query("w1_validation", """SELECT id, file_no, epoch_us(ingested_at) AS arrived, code, message FROM (
+SELECT id, file_no, ingested_at, 'id' AS code, CASE WHEN id IS NULL THEN 'missing' WHEN length(id) = 0 THEN 'empty' WHEN length(id) > 255 THEN 'too long' WHEN regexp_matches(id, '[<>:"/\\\\|?*\\x00-\\x1f]') THEN 'characters' END AS message FROM vectors
+UNION ALL SELECT id, file_no, ingested_at, 'vector', CASE WHEN vector IS NULL THEN 'missing' WHEN len(vector) = 0 THEN 'empty' WHEN len(vector) <> 128 THEN 'dimension' WHEN len(list_filter(vector, lambda x: NOT coalesce(isfinite(x), false))) > 0 THEN 'not finite' END FROM vectors) WHERE message IS NOT NULL""", base=False)
+def w1(spark, sf_dir):
+    """Rows that break the rules of ids and vectors; those of metadata are tested against brute force."""
+    from vectrine.functions.vectors import problem
+    from vectrine.operators.validate import id_problem
+
+    found = F.array(F.struct(F.lit("id").alias("code"), id_problem(F.col("id")).alias("message")), F.struct(F.lit("vector").alias("code"), problem(F.col("vector"), 128).alias("message")))
+    rows = table(spark, sf_dir, "vectors").select("id", "file_no", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("arrived"), F.explode(found).alias("x"))
+    return rows.select("id", "file_no", "arrived", "x.code", "x.message").where(F.col("message").isNotNull())
+
+
+@query("w1_validation_report")
+def w1_report(spark, sf_dir):
+    from vectrine.operators.validate import report
+
+    return report(table(spark, sf_dir, "vectors"), 128)
+
+
+@query("k16_compress", f"SELECT vec_id, {r6_sql('list_min(v)')} AS low, {r6_sql('list_max(v)')} AS high, 8::INT AS bits, 'scalar' AS strategy FROM e")
+def k16(spark, sf_dir):
+    """Product quantization is asked for without a codebook, so scalar codes come out."""
+    from vectrine.operators.compress import compress
+
+    strategy, codes = compress(embeddings(spark, sf_dir), "product", vector="embedding", key="vec_id")
+    return codes.select("vec_id", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "bits", F.lit(strategy).alias("strategy"))
+
+
+@query("st1_stream_upsert", "SELECT vec_id::VARCHAR AS id, label::INT AS label FROM e")
+def st1(spark, sf_dir):
+    """A stream of records put into a table, read after its end."""
+    from vectrine.streaming.ingest import upsert_stream
+
+    source = shared_path(spark, "source")
+    rows = embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"))
+    rows.write.parquet(source)
+    store = T.VectorTable(spark, shared_path(spark, "table"), 64)
+    upsert_stream(spark.readStream.schema(rows.schema).parquet(source), store, shared_path(spark, "stream"), 100).awaitTermination()
+    return _labels(store.all())

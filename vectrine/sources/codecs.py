@@ -70,7 +70,7 @@ def _named(found: dict) -> dict:
 
 def _frame(records: list[dict]) -> pd.DataFrame:
     columns = [c.split()[0] for c in RECORD.split(", ")]
-    return pd.DataFrame([[r.get(c) for c in columns] for r in records], columns=columns).astype(object).where(lambda x: x.notna(), None) if records else pd.DataFrame({c: [] for c in columns})
+    return pd.DataFrame([[r.get(c) for c in columns] for r in records], columns=columns).astype(object).where(lambda x: x.notna(), None)
 
 
 def to_binary(df: DataFrame) -> DataFrame:
@@ -102,7 +102,8 @@ def from_binary(df: DataFrame, data: str = "data", skip_corrupt: bool = False) -
                 except Corrupt:
                     if not skip_corrupt:
                         raise
-            yield _frame(out)
+            if out:
+                yield _frame(out)
 
     return df.where(F.col(data).isNotNull()).select(F.col(data).alias("d")).mapInPandas(run, RECORD)
 

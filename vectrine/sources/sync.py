@@ -20,11 +20,12 @@ def run_deltas(vectors: DataFrame, runs: DataFrame) -> DataFrame:
     ``run_id``), is a version of the table: the rows that had arrived by its
     start. Failed runs make no version, so what they saw goes to the next
     success. Rows with a null id or a null ``ingested_at`` are seen by no run;
-    runs without ``started_at`` see nothing and are left out. Without any
+    runs without ``started_at`` see nothing and are left out, repeated rows
+    of a run count once. Without any
     successful run the result is empty.
     """
     spark = vectors.sparkSession
-    log = runs.where((F.col("status") == "succeeded") & F.col("started_at").isNotNull()).select("run_id", "started_at")
+    log = runs.where((F.col("status") == "succeeded") & F.col("started_at").isNotNull()).select("run_id", "started_at").distinct()
     log = log.orderBy("started_at", "run_id").limit(MOST_RUNS + 1).collect()
     if len(log) > MOST_RUNS:
         raise ValueError(f"more than {MOST_RUNS} runs")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vectrine.functions.vectors import magnitude
 from vectrine.operators.filters import compile_filter
@@ -27,7 +28,7 @@ class NotFound(KeyError):
     """No record has this id."""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def merge_metadata(old: pd.Series, new: pd.Series) -> pd.Series:
     """Top-level fields of both objects, those of the new one winning; text that is no object counts as empty."""
 
@@ -74,11 +75,12 @@ class VectorTable:
             return self.spark.createDataFrame([], f"{FILE} string, {POSITION} long")
         return rows.select("id", FILE, POSITION).join(ids.select("id").distinct(), "id", "left_semi").select(FILE, POSITION)
 
-    def put(self, rows: DataFrame, now_ms: int, seq: str | None = None) -> int:
+    def put(self, rows: DataFrame, now_ms: int, seq: str | None = None, about: dict | None = None) -> int:
         """Adds records, replacing those of the same id, metadata and counts included. Returns the version.
 
         Of repeated ids in ``rows`` the greatest ``seq`` counts, without one any.
-        All rows are checked before anything is written.
+        All rows are checked before anything is written. ``about`` is saved with
+        the commit.
         """
         v = F.col("vector")
         bad = rows.where(F.col("id").isNull() | (F.col("id") == "") | v.isNull() | (F.size("vector") != self.dimension)).limit(1)
@@ -93,7 +95,8 @@ class VectorTable:
             (F.abs(length - 1) < 1e-6).alias("normalized"), given("timestamp", F.lit(now_ms), "bigint").cast("bigint").alias("timestamp"), F.lit(now_ms).cast("bigint").alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"),
         )
         full = materialize(full, "put")
-        return self.files.commit(add=full, delete=self._positions(full) if self.files.versions() else None)
+        about = {**self.files.latest()["about"], **(about or {})}
+        return self.files.commit(add=full, delete=self._positions(full) if self.files.versions() else None, about=about)
 
     def get(self, key: str) -> dict | None:
         """The record, or None."""

@@ -100,12 +100,10 @@ def varied_subset(usable: DataFrame, size: int, width: int = 128) -> DataFrame:
     salts = np.ones(make.value.count, np.int64)
     for f, n in held:
         salts[f] = -(-n // PART_ROWS)
-    hot = {int(f): int(salts[f]) for f in np.flatnonzero(salts > 1)}
-    times = F.lit(1)
-    if hot:
-        table = F.create_map(*[F.lit(x) for p in hot.items() for x in p])
-        times = F.coalesce(table[main], F.lit(1))
-    now = materialize(made.repartition(parts_for(rows, PART_ROWS), main, F.pmod(F.xxhash64("id"), times)), "coverage")
+    hot = spark.createDataFrame([(int(f), int(salts[f])) for f in np.flatnonzero(salts > 1)], "f int, salts int")
+    salted = made.withColumn("f", main).join(F.broadcast(hot), "f", "left")
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))
+    now = materialize(salted.repartition(parts_for(rows, PART_ROWS), "f", salt).select("id", "feature", "mass", "gain"), "coverage")
     if size >= rows:
         return now.select("id", F.lit(0.0).cast("float").alias("gain"))
     count_all = make.value.count

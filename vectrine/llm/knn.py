@@ -11,6 +11,7 @@ task holds an unbounded group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from vectrine.llm.tree import Tree, unit, unit64
 
-#: Rows that the tree is fitted on, rows of the calibration set, and its recall.
-SAMPLE, CALIBRATION, TARGET = 24_000, 256, 0.999
-#: Rows and queries of a shelf.
-SHELF_ROWS, SHELF_QUERIES = 8_192, 32_768
+#: Rows that the tree is fitted on: an eighth of all, but no fewer and no more than these; rows of the calibration set, and its recall.
+LEAST_SAMPLE, MOST_SAMPLE, CALIBRATION, TARGET = 24_000, 100_000, 256, 0.999
+#: Rows of a shelf, queries that meet it in a task, and that are searched for at once.
+SHELF_ROWS, SHELF_QUERIES, QUERY_BLOCK = 8_192, 16_384, 2_048
 BASE = "id string, raw binary, leaf int"
 
 
@@ -71,10 +72,10 @@ def sample_of(usable: DataFrame, rows: int, most: int, seed: int = 0) -> DataFra
     return usable.limit(most)
 
 
-def fit(usable: DataFrame, width: int, sample: int = SAMPLE, seed: int = 7, leaf_rows: int = 48, alike: float = 2.0) -> tuple[Tree, int]:
-    """Tree over ``(id, vector)`` rows, fitted on at most ``sample`` of them, and their number."""
+def fit(usable: DataFrame, width: int, seed: int = 7, leaf_rows: int = 48, alike: float = 2.0) -> tuple[Tree, int]:
+    """Tree over ``(id, vector)`` rows, fitted on a bounded sample of them, and their number."""
     rows = usable.count()
-    picked = sample_of(usable, rows, sample).select("id", "vector").toPandas().sort_values("id")
+    picked = sample_of(usable, rows, min(MOST_SAMPLE, max(LEAST_SAMPLE, rows // 8))).select("id", "vector").toPandas().sort_values("id")
     x = unit(stacked(picked["vector"], width)) if len(picked) else np.zeros((1, width), np.float32)
     return Tree(x, leaf_rows, seed=seed, alike=alike), rows
 
@@ -130,6 +131,15 @@ def top_of(s: np.ndarray, k: int) -> np.ndarray:
     return above | (equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
 
 
+def query_blocks(index: Index, sample: np.ndarray, visits: int, asked: int) -> np.ndarray:
+    """For each shelf the number of tasks that share its queries, by the part of a sample of vectors that visit it."""
+    count = np.zeros(index.shelves, np.int64)
+    for leaves in index.tree.best_bins(sample, visits):
+        seen = {int(index.first[leaf]) + s for leaf in leaves for s in range(index.salts[leaf])}
+        count[list(seen)] += 1
+    return np.maximum(1, np.ceil(count / max(len(sample), 1) * asked / SHELF_QUERIES)).astype(np.int64)
+
+
 def calibrate(base: DataFrame, usable: DataFrame, index: Index, k: int, target: float = TARGET, most: int = CALIBRATION) -> int:
     """Fewest leaf visits at which a calibration set of at most ``most`` rows reaches the recall ``target``.
 
@@ -165,20 +175,23 @@ def calibrate(base: DataFrame, usable: DataFrame, index: Index, k: int, target:
     return int(needed[max(0, int(np.ceil(target * len(needed))) - 1)]) if len(needed) else 1
 
 
-def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep: int | None = None, least: float | None = None) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep: int | None = None, blocks: np.ndarray | None = None) -> DataFrame:
     """``(query, id, similarity, n)``: for each query its ``k`` most similar rows other than its own id.
 
     ``queries`` are ``(query, own, k, raw)``; ``own`` is the id left out. A
     repeated query counts once, with its greatest ``k``; a null one is left out. Rows
     of equal similarity are taken by id, the smallest first. Similarities are
-    cosines in double precision of the stored vectors.
+    cosines in double precision of the stored vectors. ``keep`` is the ``k`` of
+    all queries, if they have the same. ``blocks`` says in how many tasks the
+    queries of a shelf meet it.
     """
     spark = base.sparkSession
-    shared, width = spark.sparkContext.broadcast(index), index.width
+    blocks = np.ones(index.shelves, np.int64) if blocks is None else blocks
+    shared, width = spark.sparkContext.broadcast((index, blocks)), index.width
     kind = dict(queries.dtypes)["query"]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
+        ix, many = shared.value
         for b in batches:
             if not len(b):
                 continue
@@ -194,20 +207,31 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
             if not out["at"]:
                 continue
             rows = b.iloc[out["at"]].reset_index(drop=True)
-            yield rows.assign(shelf=out["shelf"], leaves=out["leaves"])
+            mark = np.array([zlib.crc32(o.encode()) for o in b["own"].fillna("")])[out["at"]]
+            yield rows.assign(shelf=out["shelf"], block=(mark % many[out["shelf"]]).astype(np.int32), leaves=out["leaves"])
 
     queries = queries.where(F.col("query").isNotNull())
-    routed = queries.select("query", "own", "k", "raw").mapInPandas(route, f"query {kind}, own string, k int, raw binary, shelf int, leaves array<int>")
-    shelved = on_shelves(base, index)
+    routed = queries.select("query", "own", "k", "raw").mapInPandas(route, f"query {kind}, own string, k int, raw binary, shelf int, block int, leaves array<int>")
+    parts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks)], "shelf int, blocks int")
+    shelved = on_shelves(base, index).join(F.broadcast(parts), "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query": [], "id": [], "similarity": []})
         if not len(rows) or not len(asked):
             return none
         rows = rows.sort_values(["leaf", "id"], ignore_index=True)
-        raw, q_raw = matrix(rows["raw"], width), matrix(asked["raw"], width)
-        x, q = unit(raw), unit(q_raw)
-        leaf, ids, own, ks = rows["leaf"].to_numpy(), rows["id"].to_numpy(), asked["own"].to_numpy(), asked["k"].to_numpy()
+        raw = matrix(rows["raw"], width)
+        x, x64 = unit(raw), unit64(raw)
+        leaf, ids = rows["leaf"].to_numpy(), rows["id"].to_numpy()
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        some = (among(asked.iloc[t : t + QUERY_BLOCK], x, x64, leaf, ids, rank) for t in range(0, len(asked), QUERY_BLOCK))
+        found_ = [f for f in some if len(f)]
+        return pd.concat(found_) if found_ else none
+
+    def among(asked: pd.DataFrame, x: np.ndarray, x64: np.ndarray, leaf: np.ndarray, ids: np.ndarray, rank: np.ndarray) -> pd.DataFrame:
+        """The best rows of one shelf for a block of queries."""
+        q_raw = matrix(asked["raw"], width)
+        q, own, ks = unit(q_raw), asked["own"].to_numpy(), asked["k"].to_numpy()
         wide = int(ks.max()) + 4
         by: dict[int, list[int]] = {}
         for i, some in enumerate(asked["leaves"]):
@@ -216,15 +240,15 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
         found_q, found_x, found_s = [], [], []
         for one, who in by.items():
             a, z = np.searchsorted(leaf, [one, one + 1])
-            for t in range(0, len(who), 4096) if a < z else ():
-                w = np.array(who[t : t + 4096])
+            if a < z:
+                w = np.array(who)
                 s = q[w] @ x[a:z].T
                 i, j = np.nonzero(top_of(s, wide))
                 found_q.append(w[i])
                 found_x.append(j + a)
                 found_s.append(s[i, j])
         if not found_q:
-            return none
+            return pd.DataFrame()
         fq, fx, fs = map(np.concatenate, (found_q, found_x, found_s))
 
         def first(order: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -234,19 +258,14 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
             place = np.arange(len(g)) - np.maximum.accumulate(np.where(start, np.arange(len(g)), 0))
             return order[place < most[g]]
 
-        keep_ = first(np.lexsort((fx, -fs, fq)), ks + 4)
+        keep_ = first(np.lexsort((rank[fx], -fs, fq)), ks + 4)
         keep_ = keep_[ids[fx[keep_]] != own[fq[keep_]]]
         fq, fx = fq[keep_], fx[keep_]
-        q64, exact = unit64(q_raw), np.empty(len(fq))
-        x64 = unit64(raw)
-        for t in range(0, len(fq), 65536):
-            exact[t : t + 65536] = np.einsum("ij,ij->i", q64[fq[t : t + 65536]], x64[fx[t : t + 65536]])
-        names = ids[fx]
-        rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
-        last = first(np.lexsort((rank, -exact, fq)), ks)
-        return pd.DataFrame({"query": asked["query"].to_numpy()[fq[last]], "id": names[last], "similarity": exact[last]})
-
-    found = shelved.groupBy("shelf").cogroup(routed.groupBy("shelf")).applyInPandas(meet, f"query {kind}, id string, similarity double")
+        exact = np.einsum("ij,ij->i", unit64(q_raw)[fq], x64[fx])
+        last = first(np.lexsort((rank[fx], -exact, fq)), ks)
+        return pd.DataFrame({"query": asked["query"].to_numpy()[fq[last]], "id": ids[fx[last]], "similarity": exact[last]})
+
+    found = shelved.groupBy("shelf", "block").cogroup(routed.groupBy("shelf", "block")).applyInPandas(meet, f"query {kind}, id string, similarity double")
     limits = queries.groupBy("query").agg(F.max("k").alias("k"))
     found = found.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
@@ -261,4 +280,7 @@ def nearest(usable: DataFrame, queries: DataFrame, width: int, k: int, target: f
     tree, rows = fit(usable, width)
     base = placed(usable, tree, width)
     index = build(base, tree, width, rows)
-    return search(base, queries, index, calibrate(base, usable, index, k, target), keep)
+    visits = calibrate(base, usable, index, k, target)
+    sample = queries.select("raw").limit(CALIBRATION).toPandas()
+    blocks = query_blocks(index, unit(matrix(sample["raw"], width)), visits, queries.count()) if len(sample) else None
+    return search(base, queries, index, visits, keep, blocks)

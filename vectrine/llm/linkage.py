@@ -32,8 +32,8 @@ SHELF, VISITS, FEW, FEW_VISITS, WIDE_VISITS = 8_192, 3, 64, 24, 96
 COHERENT = 10
 #: Flags beside the number of a shelf.
 FEW_MARK, LOOSE_MARK = 2**40, 2**41
-#: Rounds at most, salts of a hot cluster.
-MOST_ROUNDS, SALTS = 100, 16
+#: Rounds at most.
+MOST_ROUNDS = 100
 
 
 def merge_rounds(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,8 +269,7 @@ def described_clusters(usable: DataFrame, width: int = 128, least: float = 0.74,
     """``(cluster_id, size, place, id, metadata, closeness)``: each cluster's most typical members.
 
     ``usable`` has ``metadata`` beside id and vector. ``closeness`` is a
-    member's mean similarity to all members; ties go to the smaller id. Members
-    of a hot cluster are spread over salts to meet its mean vector.
+    member's mean similarity to all members; ties go to the smaller id.
     """
     made = Clusters(usable, width, least)
     labels = materialize(made.labels(), "labels")
@@ -281,8 +280,8 @@ def described_clusters(usable: DataFrame, width: int = 128, least: float = 0.74,
         return pd.DataFrame({"cluster_id": [group["cluster_id"].iloc[0]], "mean": [(total / n).tobytes()], "size": [n]})
 
     means = labels.join(made.sums, "cluster").groupBy("cluster_id").applyInPandas(mean, "cluster_id string, mean binary, size bigint")
-    means = means.where("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = made.members.join(labels, "cluster").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    # a part lies on one shelf, so no part is hot however large its cluster
+    per_part = labels.join(means.where("size > 1"), "cluster_id")
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -290,7 +289,7 @@ def described_clusters(usable: DataFrame, width: int = 128, least: float = 0.74,
                 m = np.frombuffer(b"".join(b["mean"])).reshape(len(b), -1)
                 yield b[["cluster_id", "size", "id"]].assign(closeness=np.einsum("ij,ij->i", unit64(matrix(b["raw"], width)), m))
 
-    met = members.join(means, ["cluster_id", "salt"]).select("cluster_id", "size", "id", "raw", "mean")
+    met = made.members.select("id", "cluster", "raw").join(per_part, "cluster").select("cluster_id", "size", "id", "raw", "mean")
     near = met.mapInPandas(close, "cluster_id string, size bigint, id string, closeness double")
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("closeness"), "id"))
     top = near.withColumn("place", place).where(F.col("place") <= typical)

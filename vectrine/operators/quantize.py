@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vectrine.functions.metrics import dot, euclidean, norm, total
 from vectrine.functions.vectors import half_up
 from vectrine.operators.aggregates import by_dimension, exploded
+from vectrine.session import materialize
 
 #: Greatest loss below which so many bits are used; least range from which so many are needed.
 BITS_BY_LOSS = ((0.001, 16), (0.01, 12), (0.05, 8))
@@ -26,31 +27,35 @@ def dimension_bounds(df: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def percentile_bounds(df: DataFrame, vector: str = "vector", share: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
-    """Elements at position ``floor(n * share)`` of all elements in order, as ``(low, high)``.
+    """Elements at position ``floor(n * share)`` of all elements in order, as ``(low, high)``; nulls without any.
 
-    Equal values are counted before they are ordered, and the running number is
-    taken in two levels, so no task sorts all elements.
+    Equal values are counted before anything is ordered. The range that holds
+    the position is narrowed by histograms until it has few different values, so
+    no task sorts all elements.
     """
-    counts = exploded(df, vector).groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    counts = exploded(df, vector).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "counts")
     n = counts.agg(F.sum("c")).first()[0] or 0
-    if not n:
-        return df.sparkSession.createDataFrame([(None, None)], "low double, high double")
-    at = [min(int(n * s), n - 1) for s in share]
-    low, high = counts.agg(F.min("value"), F.max("value")).first()
-    step = max((high - low) / 4096, 1e-300)
-    binned = counts.withColumn("bin", F.floor((F.col("value") - low) / step).cast("long"))
-    held, found = 0, {}
-    for b, c in sorted(tuple(r) for r in binned.groupBy("bin").agg(F.sum("c")).collect()):  # 4097 bins at most
-        for i, a in enumerate(at):
-            if held <= a < held + c:
-                found[i] = (b, a - held)
-        held += c
-    out = []
-    for i in range(2):
-        b, left = found[i]
-        running = binned.where(F.col("bin") == b).selectExpr("value", "sum(c) over (order by value) as upto")
-        out.append(running.where(F.col("upto") > left).agg(F.min("value")).first()[0])
-    return df.sparkSession.createDataFrame([tuple(out)], "low double, high double")
+    found = [_value_at(counts, min(int(n * s), n - 1)) for s in share] if n else [None, None]
+    return df.sparkSession.createDataFrame([tuple(found)], "low double, high double")
+
+
+def _value_at(counts: DataFrame, position: int, bins: int = 4096, few: int = 10_000) -> float:
+    """The value at a position (from 0) of counted values (value, c)."""
+    while True:
+        low, high, different = counts.agg(F.min("value"), F.max("value"), F.count(F.lit(1))).first()
+        if different <= few:
+            for value, c in sorted(tuple(r) for r in counts.collect()):
+                if position < c:
+                    return value
+                position -= c
+        step = (high - low) / bins
+        inside = F.least(F.lit(bins - 1), F.floor((F.col("value") - low) / step).cast("int"))
+        for b, c in sorted(tuple(r) for r in counts.groupBy(inside.alias("b")).agg(F.sum("c")).collect()):
+            if position < c:
+                counts = counts.where(inside == b)
+                break
+            position -= c
 
 
 def quantize(v: Column, low: Column, high: Column, bits) -> Column:

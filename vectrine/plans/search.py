@@ -110,6 +110,13 @@ def q9(spark, sf_dir):
     return found.select("qid", "id", r6(F.col("distance")).alias("distance"), "place")
 
 
+@query("q9_every_row", f"SELECT qid, id, {r6_sql('d')} AS distance, place::INT AS place FROM {TOP.replace(' WHERE vec_id % 100 = 0', '')} WHERE place <= 10")
+def q9_every(spark, sf_dir):
+    """Every row as a query."""
+    found = S.batch_search(embeddings(spark, sf_dir), _asked(spark, sf_dir, 1), 10, **E_)
+    return found.select("qid", "id", r6(F.col("distance")).alias("distance"), "place")
+
+
 @query("q9_multi_query_euclidean", f"SELECT qid, id, {r6_sql('d')} AS distance FROM {TOP.replace(COS, METRIC['euclidean'])} WHERE place <= 10")
 def q9_euclidean(spark, sf_dir):
     return S.batch_search(embeddings(spark, sf_dir), _asked(spark, sf_dir), 10, "euclidean", **E_).select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"))

@@ -194,6 +194,29 @@ def test_clusters_over_many_shelves(data, monkeypatch):
     assert found == {ids(i): ids(label[i]) for i in range(len(x))}
 
 
+def test_a_single_link_between_shelves_is_found(spark, monkeypatch):
+    """Two large clusters over many shelves of a hot leaf, connected by one pair of points."""
+    from vectrine.llm import linkage
+
+    rng = np.random.default_rng(8)
+    e = np.eye(WIDTH)
+    x = np.concatenate([c + 0.03 * rng.standard_normal((400, WIDTH)) for c in e[:2]] + [[0.8 * e[0] + 0.6 * e[1]], [0.3 * e[0] + 0.9 * e[1] + 0.3 * e[2]]]).astype(np.float32)
+    s = cosines(x)
+    assert (s[:400, 400:800] < 0.74).all() and (s[800, 400:800] < 0.74).all() and (s[801, :400] < 0.74).all() and s[800, 801] >= 0.74
+    monkeypatch.setattr(linkage, "fit", lambda usable, width: K.fit(usable, width, leaf_rows=10**6))
+    c = linkage.Clusters(table(spark, x), WIDTH, 0.74, shelf_rows=200)
+    assert {r.cluster_id for r in c.assigned(connected=True).collect()} == {"v0000"}
+
+
+def test_blocks_hold_every_part_once(spark):
+    from vectrine.llm import linkage
+
+    sums = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate([9] * 3 + [5] * 40 + [1] * 500)], "cluster string, n bigint")
+    found = linkage.blocks(sums, 100)
+    inside = [sums.where(F.col("n").between(low, high) & (F.pmod(F.xxhash64("cluster"), F.lit(salts)) == salt)).count() for low, high, salt, salts in found]
+    assert sum(inside) == 543 and len(found) == 6 and max(inside) <= 150
+
+
 def test_average_linkage_merges_the_mutual_best_first():
     x = unit(np.array([[1, 0], [1, 0.1], [0, 1], [0.1, 1], [-1, -1]], float))
     label, total, n = merge_rounds(x, 0.9)

@@ -3,16 +3,18 @@
 Rows lie on shelves: runs of neighbouring leaves of a k-means tree, of bounded
 size. On each shelf all mutual best pairs are merged in parallel, round by
 round, until no average similarity reaches the threshold; the average of two
-clusters is the inner product of their mean vectors. Points near the border of
-a shelf then look for similar points on the shelves of their nearest leaves.
-That gives a sparse graph between the small clusters, on which the same rounds
-run as joins and aggregations. The graph also holds every link found between
-two clusters, so their connected components follow as an exact check.
+clusters is the inner product of their mean vectors. That gives parts. An
+average that reaches the threshold needs one between two parts that does, so
+the linkage goes on over the parts whose means are that close.
+
+Single links between parts of different shelves are found exactly: a point is
+sent to all parts that can hold a similar enough one, by the triangle
+inequality on the angles from the part's mean direction. Pairs of parts that
+are known to be connected need no look.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,18 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.llm.components import components
-from vectrine.llm.knn import Index, build, fit, matrix, on_shelves, placed
+from vectrine.llm.knn import build, fit, matrix, on_shelves, placed
 from vectrine.llm.tree import unit, unit64
 from vectrine.session import materialize, release
 
-#: Rows of a shelf; leaves that a point looks at; how many if its cluster on the shelf has fewer than FEW members, and how many then at most.
-SHELF, VISITS, FEW, FEW_VISITS, WIDE_VISITS = 8_192, 3, 64, 24, 96
-#: Members of a cluster on a shelf from which it counts for the reach of its leaves.
-COHERENT = 10
-#: Flags beside the number of a shelf.
-FEW_MARK, LOOSE_MARK = 2**40, 2**41
+#: Rows of a shelf, parts that are sent to all executors at once.
+SHELF, BLOCK = 8_192, 16_384
+#: Parts of a size that get a block of their own if they outnumber all larger ones.
+LEAD = 64
 #: Rounds at most.
 MOST_ROUNDS = 100
+#: Rounding error of a float32 cosine at most, and of an angle taken from one.
+COSINE_ERROR, ANGLE_ERROR = 1e-5, 1e-3
 
 
 def merge_rounds(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,13 +66,14 @@ def merge_rounds(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, n
     return label, total, n
 
 
-PARTS = "kind string, a string, b string, raw binary, leaf int, n bigint"
+PARTS = "kind string, a string, b string, raw binary, shelf int, n bigint, radius double"
 
 
 def shelf_clusters(shelved: DataFrame, width: int, least: float) -> DataFrame:
-    """Per shelf: members ('m': id, cluster, vector, leaf), clusters ('s': cluster, sum, size) and links between clusters ('l').
+    """Per shelf: members ('m': id, part, vector, part's size), parts ('s': part, sum, size, radius) and links between parts ('l').
 
-    A cluster is named by its smallest id.
+    A part is named by its smallest id. Its radius is the greatest angle of a
+    member from the mean direction.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -86,103 +89,132 @@ def shelf_clusters(shelved: DataFrame, width: int, least: float) -> DataFrame:
             p, q = label[i + a], label[j]
             seen.append(np.unique(np.stack([p, q], 1)[p < q], axis=0))
         links = np.unique(np.concatenate(seen), axis=0)
-        out = pd.DataFrame({"kind": "m", "a": ids, "b": name[label], "raw": group["raw"], "leaf": group["leaf"], "n": shelf + (n[label] < FEW) * FEW_MARK + (n[label] < COHERENT) * LOOSE_MARK})
-        sums = pd.DataFrame({"kind": "s", "a": name, "b": None, "raw": [t.tobytes() for t in total], "leaf": 0, "n": n})
-        pairs = pd.DataFrame({"kind": "l", "a": name[links[:, 0]], "b": name[links[:, 1]], "raw": None, "leaf": 0, "n": 0})
+        cosine = np.ones(len(n))
+        np.minimum.at(cosine, label, np.einsum("ij,ij->i", x.astype(np.float64), unit64(total)[label]))
+        out = pd.DataFrame({"kind": "m", "a": ids, "b": name[label], "raw": group["raw"], "shelf": shelf, "n": n[label], "radius": 0.0})
+        sums = pd.DataFrame({"kind": "s", "a": name, "b": None, "raw": [t.tobytes() for t in total], "shelf": shelf, "n": n, "radius": np.arccos(np.clip(cosine, -1, 1))})
+        pairs = pd.DataFrame({"kind": "l", "a": name[links[:, 0]], "b": name[links[:, 1]], "raw": None, "shelf": shelf, "n": 0, "radius": 0.0})
         return pd.concat([x for x in (out, sums, pairs) if len(x)])
 
     return shelved.groupBy("shelf").applyInPandas(run, PARTS)
 
 
-def border_links(members: DataFrame, index: Index, least: float) -> DataFrame:
-    """``(a, b)``: clusters of different shelves with a pair of points of similarity ``least`` or more.
+def totals(column: pd.Series) -> np.ndarray:
+    """Sums of vectors of a column of float64 bytes."""
+    return np.frombuffer(b"".join(column)).reshape(len(column), -1)
 
-    ``members`` are ``(id, cluster, raw, leaf, shelf, few, loose)``. Only points of
-    which one of the nearest leaves is on another shelf are sent there. Points of
-    a large cluster look at few leaves, and at one shelf of a leaf that has
-    several: the cluster has many of them. Points of a small one, which may have
-    strayed from their like, look at more, on all shelves: and further at each
-    leaf whose large clusters can hold a point that is similar enough, by the
-    triangle inequality on the angles from its centroid.
+
+def blocks(sums: DataFrame, most: int = BLOCK) -> list[tuple[int, int, int, int]]:
+    """``(least, greatest, salt, salts)`` of disjoint blocks of about ``most`` parts or fewer: a range of sizes, and its share by a hash of the name."""
+    out, low, high, held = [], 0, 0, 0
+    for n, many in sorted(((r.n, r.m) for r in sums.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True):  # bounded by the rows of a shelf
+        if held and (held + many > most or many > max(held, LEAD)):  # the many small parts don't meet the rows of large ones
+            out.append((low, high, 0, 1))
+            held = 0
+        if many > most:
+            salts = -(-many // most)
+            out += [(n, n, i, salts) for i in range(salts)]
+            continue
+        low, high, held = n, n if not held else high, held + many
+    return out + ([(low, high, 0, 1)] if held else [])
+
+
+def against_parts(rows: DataFrame, sums: DataFrame, compare, schema: str, label: str, most: int = BLOCK) -> DataFrame:
+    """``compare(batch, block)`` of all batches of ``rows`` with each block of parts; ``rows`` have ``n``, the size of their part.
+
+    A block is sent to all executors, one after the other. A pair of parts is
+    looked at from the smaller one (see :func:`after`), so most rows meet the
+    few blocks of large parts only.
     """
-    center = index.tree.directions()
-    nearest = members.sparkSession.sparkContext.broadcast(center)
+    spark, found = rows.sparkSession, None
+    for low, high, salt, salts in blocks(sums, most):
+        block = sums.where(F.col("n").between(low, high) & (F.pmod(F.xxhash64("cluster"), F.lit(salts)) == salt)).toPandas()
+        shared = spark.sparkContext.broadcast({c: block[c].to_numpy() for c in block if c != "sum"} | {"mean": totals(block["sum"]) / block["n"].to_numpy()[:, None]})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = shared.value | {"direction": unit(shared.value["mean"])}
+            for b in batches:
+                for a in range(0, len(b), 1024):
+                    yield compare(b.iloc[a : a + 1024], parts)
+
+        one = materialize(rows.where(F.col("n") <= high).mapInPandas(run, schema), label)
+        found = one if found is None else found.unionByName(one)
+        shared.destroy()
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def after(b: pd.DataFrame, block: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """True for pairs of a row and a part that is larger than the row's, or as large and of a smaller name."""
+    n, m = b["n"].to_numpy()[i], block["n"][j]
+    return (m > n) | ((m == n) & (block["cluster"][j] < b["cluster"].to_numpy()[i]))
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = nearest.value
-        for b in batches:
-            if len(b):
-                leaf = b["leaf"].to_numpy()
-                cosine = np.einsum("ij,ij->i", unit(matrix(b["raw"], index_width)), c[leaf])
-                yield pd.DataFrame({"leaf": leaf, "cosine": cosine}).groupby("leaf", as_index=False).min()
-
-    index_width = index.width
-    found = members.where("not loose").select("raw", "leaf").mapInPandas(reach, "leaf int, cosine float").groupBy("leaf").agg(F.min("cosine").alias("c")).collect()
-    bound = np.full(index.tree.leaves, 2.0)
-    for leaf, c in found:  # bounded by the leaves
-        angle = np.arccos(np.clip(c, -1, 1)) + np.arccos(np.clip(least, -1, 1)) + 1e-3
-        bound[leaf] = np.cos(min(angle, np.pi))
-    limits = members.sparkSession.sparkContext.broadcast(bound)
-    shared, width = members.sparkSession.sparkContext.broadcast(index), index.width
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix, c, limit = shared.value, nearest.value, limits.value
-        for b in batches:
-            if not len(b):
-                continue
-            at, shelf, leaves = [], [], []
-            x, few_, names = unit(matrix(b["raw"], width)), b["few"].to_numpy(), b["id"].to_numpy()
-            bins: list = [None] * len(b)
-            for few, visits in ((False, VISITS), (True, WIDE_VISITS)):
-                w = np.flatnonzero(few_ == few)
-                if len(w):
-                    within = x[w] @ c.T >= limit if few else None
-                    for n, (i, some) in enumerate(zip(w, ix.tree.best_bins(x[w], visits))):
-                        bins[i] = some if not few else [leaf for k, leaf in enumerate(some) if k < FEW_VISITS or within[n, leaf]]
-            for i, (own, some) in enumerate(zip(b["shelf"], bins)):
-                here: dict[int, list[int]] = {}
-                for leaf in some:
-                    first, salts = int(ix.first[leaf]), int(ix.salts[leaf])
-                    shelves = range(first, first + salts) if few_[i] else [first + zlib.crc32(names[i].encode()) % salts]
-                    for s in shelves:
-                        if s != own:
-                            here.setdefault(s, []).append(leaf)
-                at += [i] * len(here)
-                shelf += here.keys()
-                leaves += here.values()
-            if at:
-                yield pd.DataFrame({"cluster": b["cluster"].to_numpy()[at], "raw": b["raw"].to_numpy()[at], "shelf": shelf, "leaves": leaves})
-
-    sent = members.select("id", "cluster", "raw", "shelf", "few").mapInPandas(route, "cluster string, raw binary, shelf int, leaves array<int>")
+
+def near_parts(sums: DataFrame, least: float) -> DataFrame:
+    """``(a, b, average)``: all pairs of parts whose average similarity is ``least`` or more."""
+
+    def compare(b: pd.DataFrame, block: dict[str, np.ndarray]) -> pd.DataFrame:
+        mine, theirs = totals(b["sum"]) / b["n"].to_numpy()[:, None], block["mean"]
+        i, j = np.nonzero(mine.astype(np.float32) @ theirs.astype(np.float32).T >= least - COSINE_ERROR)
+        ok = after(b, block, i, j)
+        i, j = i[ok], j[ok]
+        average = np.einsum("ij,ij->i", mine[i], theirs[j])
+        found = pd.DataFrame({"a": b["cluster"].to_numpy()[i], "b": block["cluster"][j], "average": average})
+        return found[average >= least]
+
+    return against_parts(sums, sums, compare, "a string, b string, average double", "near")
+
+
+def border_links(members: DataFrame, sums: DataFrame, known: DataFrame, width: int, least: float) -> DataFrame:
+    """``(a, b)``: parts of different shelves with a pair of points of similarity ``least`` or more, as far as ``known`` links don't connect them.
+
+    ``members`` are ``(id, cluster, raw, shelf, n)``, ``sums`` ``(cluster, sum, n,
+    shelf, radius)``. No pair of points is left out that the bound allows:
+    with p the angle of a point from a part's mean direction, none of its
+    members is nearer than p less the part's radius.
+    """
+    joined = materialize(components(known).select(F.col("node").alias("cluster"), F.col("label").alias("component")), "joined")
+
+    def with_component(df: DataFrame) -> DataFrame:
+        return df.join(joined, "cluster", "left").withColumn("component", F.coalesce("component", "cluster"))
+
+    def compare(b: pd.DataFrame, block: dict[str, np.ndarray]) -> pd.DataFrame:
+        limit = np.cos(np.minimum(block["radius"] + np.arccos(np.clip(least, -1, 1)) + ANGLE_ERROR, np.pi))
+        i, j = np.nonzero(unit(matrix(b["raw"], width)) @ block["direction"].T >= limit.astype(np.float32) - np.float32(COSINE_ERROR))
+        ok = after(b, block, i, j)
+        i, j = i[ok], j[ok]
+        shelf = block["shelf"][j]
+        ok = (b["component"].to_numpy()[i] != block["component"][j]) & (b["shelf"].to_numpy()[i] != shelf)
+        asked = pd.DataFrame({"i": i[ok], "shelf": shelf[ok], "parts": block["cluster"][j[ok]]}).groupby(["i", "shelf"])["parts"].agg(list).reset_index()
+        at = asked["i"].to_numpy(np.int64)
+        return pd.DataFrame({"cluster": b["cluster"].to_numpy()[at], "raw": b["raw"].to_numpy()[at], "shelf": asked["shelf"], "parts": asked["parts"]})
+
+    points = materialize(with_component(members.select("cluster", "raw", "shelf", "n")), "points")
+    sent = against_parts(points, with_component(sums), compare, "cluster string, raw binary, shelf int, parts array<string>", "sent")
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[str, str]] = set()
         if len(rows) and len(asked):
-            rows = rows.sort_values("leaf", ignore_index=True)
+            rows = rows.sort_values("cluster", ignore_index=True)
             raw, q_raw = matrix(rows["raw"], width), matrix(asked["raw"], width)
-            x, q, leaf = unit(raw), unit(q_raw), rows["leaf"].to_numpy()
-            to, names = pd.factorize(pd.concat([rows["cluster"], asked["cluster"]]))
-            mine, theirs = to[: len(rows)], to[len(rows) :]
-            by: dict[int, list[int]] = {}
-            for i, some in enumerate(asked["leaves"]):
+            x, q, part, theirs = unit(raw), unit(q_raw), rows["cluster"].to_numpy(), asked["cluster"].to_numpy()
+            by: dict[str, list[int]] = {}
+            for i, some in enumerate(asked["parts"]):
                 for one in some:
-                    by.setdefault(int(one), []).append(i)
+                    by.setdefault(one, []).append(i)
             for one, who in by.items():
-                a, z = np.searchsorted(leaf, [one, one + 1])
-                for t in range(0, len(who), 2048) if a < z else ():
+                a, z = np.searchsorted(part, one), np.searchsorted(part, one, side="right")
+                for t in range(0, len(who), 2048):
                     w = np.array(who[t : t + 2048])
                     s = q[w] @ x[a:z].T
-                    i, j = np.nonzero(s >= least - 1e-5)
-                    close = s[i, j] < least + 1e-5
+                    i, j = np.nonzero(s >= least - COSINE_ERROR)
+                    close = s[i, j] < least + COSINE_ERROR
                     if close.any():  # decided in double precision
                         exact = np.einsum("ij,ij->i", unit64(q_raw[w[i[close]]]), unit64(raw[j[close] + a]))
-                        drop = np.flatnonzero(close)[exact < least]
-                        i, j = np.delete(i, drop), np.delete(j, drop)
-                    pairs = np.unique(np.stack([theirs[w[i]], mine[j + a]], 1), axis=0)
-                    found |= {(min(names[p], names[r]), max(names[p], names[r])) for p, r in pairs if p != r}
+                        i = np.delete(i, np.flatnonzero(close)[exact < least])
+                    found |= {(min(one, p), max(one, p)) for p in set(theirs[w[i]])}
         return pd.DataFrame(sorted(found), columns=["a", "b"])
 
-    rows = members.select("cluster", "raw", "leaf", "shelf")
+    rows = points.select("cluster", "raw", "shelf")
     return rows.groupBy("shelf").cogroup(sent.groupBy("shelf")).applyInPandas(meet, "a string, b string").distinct()
 
 
@@ -218,36 +250,35 @@ def average_rounds(graph: DataFrame, least: float) -> DataFrame:
 
 
 class Clusters:
-    """Result of the linkage: ``members`` (id, part, raw), ``sums`` of the parts, ``merges`` and ``links`` between parts."""
+    """Result of the linkage: ``members`` (id, part, raw), ``sums`` of the parts and ``near`` pairs of them."""
 
     def __init__(self, usable: DataFrame, width: int, least: float, shelf_rows: int = SHELF):
-        self.width = width
+        self.width, self.least = width, least
         tree, rows = fit(usable, width)
         base = placed(usable, tree, width)
         index = build(base, tree, width, rows, shelf_rows)
-        parts = materialize(shelf_clusters(on_shelves(base, index), width, least), "parts")
-        self.members = parts.where("kind = 'm'").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "raw", "leaf", (F.col("n") % FEW_MARK).cast("int").alias("shelf"), (F.col("n") >= FEW_MARK).alias("few"), (F.col("n") >= LOOSE_MARK).alias("loose"))
-        self.sums = parts.where("kind = 's'").select(F.col("a").alias("cluster"), F.col("raw").alias("sum"), "n")
-        local = parts.where("kind = 'l'").select("a", "b")
-        self.links = materialize(local.unionByName(border_links(self.members, index, least)).distinct(), "links")
-        x = self.sums.select(F.col("cluster").alias("a"), F.col("sum").alias("x"), F.col("n").alias("nx"))
-        y = self.sums.select(F.col("cluster").alias("b"), F.col("sum").alias("y"), F.col("n").alias("ny"))
-
-        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                total = [float(np.frombuffer(p) @ np.frombuffer(q)) for p, q in zip(b["x"], b["y"])]
-                yield pd.DataFrame({"a": b["a"], "b": b["b"], "total": total, "pairs": (b["nx"] * b["ny"]).astype(float)})
-
-        graph = self.links.join(x, "a").join(y, "b").mapInPandas(inner, "a string, b string, total double, pairs double")
-        self.merges = average_rounds(graph, least)
+        self.parts = materialize(shelf_clusters(on_shelves(base, index), width, least), "parts")
+        self.members = self.parts.where("kind = 'm'").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "raw", "shelf", "n")
+        self.sums = self.parts.where("kind = 's'").select(F.col("a").alias("cluster"), F.col("raw").alias("sum"), "n", "shelf", "radius")
+        self.near = near_parts(self.sums, least)
+
+    def links(self) -> DataFrame:
+        """``(a, b)``: links between parts that connect all that single links do. An average beyond the threshold has a link in it."""
+        known = self.parts.where("kind = 'l'").select("a", "b").unionByName(self.near.where(F.col("average") >= self.least + COSINE_ERROR).select("a", "b"))
+        return known.unionByName(materialize(border_links(self.members, self.sums, known, self.width, self.least), "links"))
+
+    def merges(self) -> DataFrame:
+        """``(a, b)``: the parts that the linkage merges."""
+        x, y = (self.sums.select(F.col("cluster").alias(c), F.col("n").alias("n" + c)) for c in "ab")
+        pairs = (F.col("na") * F.col("nb")).cast("double")
+        return average_rounds(self.near.join(x, "a").join(y, "b").select("a", "b", (F.col("average") * pairs).alias("total"), pairs.alias("pairs")), self.least)
 
     def labels(self, connected: bool = False) -> DataFrame:
-        """``(cluster, cluster_id)`` of each part: by average linkage, or also connected by single links.
+        """``(cluster, cluster_id)`` of each part: by average linkage, or connected by single links.
 
         The name of a cluster is its smallest id, since that of a part is.
         """
-        edges = self.merges.unionByName(self.links) if connected else self.merges
-        found = components(edges).select(F.col("node").alias("cluster"), F.col("label").alias("cluster_id"))
+        found = components(self.links() if connected else self.merges()).select(F.col("node").alias("cluster"), F.col("label").alias("cluster_id"))
         return self.sums.select("cluster").join(found, "cluster", "left").select("cluster", F.coalesce("cluster_id", "cluster").alias("cluster_id"))
 
     def assigned(self, connected: bool = False) -> DataFrame:

@@ -217,6 +217,41 @@ def test_blocks_hold_every_part_once(spark):
     assert sum(inside) == 543 and len(found) == 6 and max(inside) <= 150
 
 
+def slow_linkage(x, least):
+    """Merges of the best pair of all, one at a time; averages over all pairs of members."""
+    s, groups = unit(x).astype(float) @ unit(x).astype(float).T, [[i] for i in range(len(x))]
+    while len(groups) > 1:
+        best = max((s[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if best[0] < least:
+            break
+        groups[best[1]] += groups.pop(best[2])
+    return {frozenset(g) for g in groups}
+
+
+def test_averages_count_pairs_without_a_link():
+    from vectrine.llm import linkage
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x = unit(np.eye(6)[0] + 0.35 * rng.standard_normal((24, 6)))
+        label = linkage.chain_merges(x.astype(float), np.ones(len(x), int), 0.74)
+        assert {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label)} == slow_linkage(x, 0.74)
+
+
+def test_a_stray_of_one_part_does_not_join_the_hub(spark):
+    """A stray is like one of three parts of a hub, at 0.8, and not like the hub on average."""
+    from vectrine.llm import linkage
+
+    angles = np.deg2rad([0, 2, -8, -10, -12, -14, 37])
+    x = np.stack([np.cos(angles), np.sin(angles)], 1)
+    total = np.stack([x[:2].sum(0), x[2:4].sum(0), x[4:6].sum(0), x[6]])
+    sums = spark.createDataFrame([(c, t.tobytes(), n, i, 0.1) for i, (c, t, n) in enumerate(zip("abcd", total, (2, 2, 2, 1)))], "cluster string, sum binary, n bigint, shelf int, radius double")
+    near = linkage.near_parts(sums, 0.74)
+    pairs = {(min(r.a, r.b), max(r.a, r.b)): r.average for r in near.collect()}
+    assert set(pairs) == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")}
+    assert {(r.a, r.b) for r in linkage.average_merges(near, sums, 0.74).collect()} == {("a", "b"), ("a", "c")}
+
+
 def test_average_linkage_merges_the_mutual_best_first():
     x = unit(np.array([[1, 0], [1, 0.1], [0, 1], [0.1, 1], [-1, -1]], float))
     label, total, n = merge_rounds(x, 0.9)

@@ -16,7 +16,6 @@ are known to be connected need no look.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,14 +25,12 @@ from pyspark.sql import functions as F
 from vectrine.llm.components import components
 from vectrine.llm.knn import build, fit, matrix, on_shelves, placed
 from vectrine.llm.tree import unit, unit64
-from vectrine.session import materialize, release
+from vectrine.session import materialize
 
 #: Rows of a shelf, parts that are sent to all executors at once.
 SHELF, BLOCK = 8_192, 16_384
 #: Parts of a size that get a block of their own if they outnumber all larger ones.
 LEAD = 64
-#: Rounds at most.
-MOST_ROUNDS = 100
 #: Rounding error of a float32 cosine at most, and of an angle taken from one.
 COSINE_ERROR, ANGLE_ERROR = 1e-5, 1e-3
 
@@ -218,35 +215,60 @@ def border_links(members: DataFrame, sums: DataFrame, known: DataFrame, width: i
     return rows.groupBy("shelf").cogroup(sent.groupBy("shelf")).applyInPandas(meet, "a string, b string").distinct()
 
 
-def average_rounds(graph: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``: all merges of reciprocal-nearest-neighbour rounds on a sparse graph.
+def chain_merges(total: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Cluster number of each part after all merges of average ``least`` or more, by chains of nearest neighbours.
 
-    ``graph`` has a row ``(a, b, total, pairs)`` for each edge, a < b: the sum
-    and the number of the similarities between two clusters. Merged clusters
-    keep the smaller name, their edges add up. Each round merges all mutual
-    best pairs whose average reaches ``least``.
+    A merged cluster is as similar to a third one as its halves on average, so
+    no merge brings a better partner to a pair of mutual best ones: the chain
+    makes the same merges as rounds of all mutual best pairs, each of them once,
+    whatever their number. Averages are over all pairs of members, by the sums
+    and sizes of the clusters. A cluster without a partner is done.
     """
-    spark, merges = graph.sparkSession, []
-    now = materialize(graph, "graph")
-    for _ in range(MOST_ROUNDS):
-        good = now.where(F.col("total") >= F.col("pairs") * least).select("a", "b", (F.col("total") / F.col("pairs")).alias("w"))
-        both = good.select("a", "b", "w").unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-        order = F.struct(-F.col("w"), F.least("a", "b"), F.greatest("a", "b"))
-        best = both.groupBy("a").agg(F.min_by("b", order).alias("b"))
-        back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        merged = materialize(best.join(back, ["a", "b"], "left_semi").where("a < b"), "merged")
-        if merged.isEmpty():
-            break
-        merges.append(merged)
-        to = merged.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        named = now
-        for c in ("a", "b"):
-            named = named.join(to, named[c] == to["old"], "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-        pairs = named.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = materialize(pairs.agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")), "graph")
-        release(now)
-        now = new
-    return reduce(DataFrame.unionByName, merges) if merges else spark.createDataFrame([], "a string, b string")
+    total, n = total.copy(), n.astype(np.float64)
+    mean, label, alive = total / n[:, None], np.arange(len(n)), np.ones(len(n), bool)
+    chain: list[int] = []
+    for first in range(len(n)):
+        while alive[first] or chain:
+            if not chain:
+                chain.append(first)
+            me = chain[-1]
+            s = np.where(alive, mean @ mean[me], -2.0)
+            s[me] = -2.0
+            best = int(s.argmax())
+            if len(chain) > 1 and s[chain[-2]] >= s[best] - 1e-12:
+                best = chain[-2]  # ties, up to rounding, end the chain
+            if s[best] < least:
+                alive[me] = False
+                chain.pop()
+            elif len(chain) > 1 and best == chain[-2]:
+                keep, gone = min(me, best), max(me, best)
+                total[keep] += total[gone]
+                n[keep] += n[gone]
+                mean[keep] = total[keep] / n[keep]
+                label[gone], alive[gone] = keep, False
+                chain = chain[:-2]
+            else:
+                chain.append(best)
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def average_merges(near: DataFrame, sums: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: parts and the smallest part of their cluster by average linkage, for all in a cluster of several.
+
+    ``near`` are all pairs of parts whose average reaches ``least``. A merge
+    needs such a pair in it, so each of their components is a task of its own.
+    """
+    group = components(near).select(F.col("node").alias("cluster"), F.col("label").alias("component"))
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("cluster", ignore_index=True)
+        label = chain_merges(totals(parts["sum"]), parts["n"].to_numpy(), least)
+        name = parts["cluster"].to_numpy()
+        return pd.DataFrame({"a": name[label], "b": name})[label != np.arange(len(label))]
+
+    return materialize(sums.join(group, "cluster").select("component", "cluster", "sum", "n").groupBy("component").applyInPandas(run, "a string, b string"), "merges")
 
 
 class Clusters:
@@ -269,9 +291,7 @@ class Clusters:
 
     def merges(self) -> DataFrame:
         """``(a, b)``: the parts that the linkage merges."""
-        x, y = (self.sums.select(F.col("cluster").alias(c), F.col("n").alias("n" + c)) for c in "ab")
-        pairs = (F.col("na") * F.col("nb")).cast("double")
-        return average_rounds(self.near.join(x, "a").join(y, "b").select("a", "b", (F.col("average") * pairs).alias("total"), pairs.alias("pairs")), self.least)
+        return average_merges(self.near, self.sums, self.least)
 
     def labels(self, connected: bool = False) -> DataFrame:
         """``(cluster, cluster_id)`` of each part: by average linkage, or connected by single links.

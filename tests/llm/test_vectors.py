@@ -252,6 +252,16 @@ def test_a_stray_of_one_part_does_not_join_the_hub(spark):
     assert {(r.a, r.b) for r in linkage.average_merges(near, sums, 0.74).collect()} == {("a", "b"), ("a", "c")}
 
 
+def test_a_hub_takes_any_number_of_satellites():
+    """Each has the hub as its best partner, and none is like another: one merge a round in rounds of mutual best pairs."""
+    from vectrine.llm import linkage
+
+    x = np.zeros((151, 152))
+    x[:, 0], x[0, 0] = 0.85, 10_000
+    x[np.arange(1, 151), np.arange(1, 151)] = np.sqrt(1 - 0.85**2)
+    assert set(linkage.chain_merges(x, np.r_[10_000, np.ones(150, int)], 0.74)) == {0}
+
+
 def test_average_linkage_merges_the_mutual_best_first():
     x = unit(np.array([[1, 0], [1, 0.1], [0, 1], [0.1, 1], [-1, -1]], float))
     label, total, n = merge_rounds(x, 0.9)

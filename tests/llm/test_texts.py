@@ -118,6 +118,26 @@ def test_leaks(spark):
     assert L.exact_leaks(d.limit(0), i).isEmpty() and L.exact_leaks(d, i.limit(0)).isEmpty()
 
 
+def leaks_of(spark, docs, items, f):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r.doc_id, r.item_id) for r in f(d, i).collect()}
+
+
+def test_leaks_of_periodic_passages_single_seeds_and_short_items(spark):
+    laugh = "ha " * 12
+    items = ["a b c d e f g h i j k l m n o p " + laugh, "one two three four five six seven eight nine ten eleven twelve", "red green blue", "no such words"]
+    docs = ["so funny " + laugh, "x one two three four five six y", "a red green blue line", "red blue"]
+    assert leaks_of(spark, docs, items, L.exact_leaks) == {(0, 0)}
+    assert leaks_of(spark, docs, items, L.leaks) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_seeds_do_not_depend_on_the_size_of_the_corpus(spark):
+    words = [f"w{i}" for i in range(20)]
+    docs = [" ".join(words)] * 5 + [" ".join(words[:7])] * 150  # all n-grams are in 5 documents, the first ones in 155
+    assert len(leaks_of(spark, docs, [" ".join(words)], L.leaks)) == 155
+
+
 # tokens
 
 

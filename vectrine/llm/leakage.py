@@ -1,9 +1,9 @@
-"""Passages of held-out evaluation items in a corpus: rare n-gram seeds, then local alignment.
+"""Passages of held-out evaluation items in a corpus: n-gram seeds, then local alignment.
 
-Every window of ``span`` words of an item has the rarest of its n-grams as a
-seed, so no copied window goes unseen, and so have all rare ones; frequent
-phrases seed nothing as long as the window has a rarer one. Documents with a seed are joined to its
-items and scored by Smith-Waterman alignment of the words.
+Every n-gram of an item is a seed where edited copies are looked for. Where
+only whole windows of ``span`` words count, the rarest n-gram of each is enough,
+so no copied window goes unseen. Documents with a seed are joined to its items
+and scored by Smith-Waterman alignment of the words.
 """
 
 from __future__ import annotations
@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 SPAN, GRAM = 12, 6
-#: Documents that an n-gram may be in to be rare by itself; the rarest of a window is a seed however frequent.
-RARE = 100
-#: Different n-grams that a document and an item must share to be aligned; 12 words in a row share 7.
-LEAST_SHARED = 3
 #: Alignment scores of equal words, of different words and of a word left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Pairs that are aligned at once.
@@ -107,76 +103,76 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def seeds(item: np.ndarray, frequency: dict[int, int], span: int = SPAN, n: int = GRAM) -> set[int]:
-    """Rare n-grams that the corpus has, and the rarest of each window of ``span`` words; of equally rare ones the smallest hash.
+    """The rarest n-gram that the corpus has of each window of ``span`` words; of equally rare ones the smallest hash.
 
-    A window without any that the corpus has is in no document. The other rare
-    ones find passages of which only a part is left.
+    A window without any that the corpus has is in no document.
     """
     order = [(frequency.get(int(g), 0) or np.inf, int(g)) for g in gram_codes(item, n)]
     wide = span - n + 1
     best = (min(order[i : i + wide]) for i in range(len(order) - wide + 1))
-    return {g for f, g in best if f != np.inf} | {g for f, g in order if f <= RARE and len(order) >= wide}
+    return {g for f, g in best if f != np.inf}
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, n: int = GRAM) -> DataFrame:
-    """``(doc_id, item_id, run, score, share)`` of each document and item that share a seed and ``LEAST_SHARED`` n-grams in all.
+def frequencies(documents: DataFrame, wanted: np.ndarray, n: int) -> dict[int, int]:
+    """Number of documents of each of the ``wanted`` n-grams, sorted, that there is one of."""
+    known = documents.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams, total, codes = known.value, np.zeros(len(known.value), np.int64), Codes()
+        for b in batches:
+            for t in b["text"]:
+                g = np.unique(gram_codes(word_codes(words_of(t), codes), n))
+                at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+                np.add.at(total, at[grams[at] == g], 1)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"at": some, "n": total[some]})
+
+    # bounded by the items' n-grams, whatever the corpus
+    counted = documents.select("text").mapInPandas(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    return {int(wanted[r["at"]]): r.n for r in counted}
+
+
+def leaks(documents: DataFrame, items: DataFrame, span: int | None = None, n: int = GRAM) -> DataFrame:
+    """``(doc_id, item_id, run, score, share)`` of each document and item that share an n-gram; an item of fewer words has to be in the document.
 
     ``run`` is the number of successive words in common, ``score`` that of the
     best local alignment and ``share`` the part of the item's words that it
-    takes. Items of fewer than ``span`` words or without an id, and null or empty
-    texts, give no row. Repeated documents or items each give their own rows.
+    takes. Items without an id, and null or empty texts, give no row. Repeated
+    documents or items each give their own rows. With a ``span``, only pairs with
+    so many successive words in common are sure to have a row.
 
     The held-out items are a bounded set: beyond ``MOST_ITEM_WORDS`` words they
-    are refused, not cut. Frequencies are counted over all documents.
+    are refused, not cut.
     """
     spark = documents.sparkSession
     size = items.agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("m")).first()
     if (size.n or 0) > 6 * MOST_ITEM_WORDS:
         raise ValueError(f"the items have more than about {MOST_ITEM_WORDS} words")
     texts = [(r.item_id, word_codes(words_of(r.text))) for r in items.where(F.col("item_id").isNotNull()).select("item_id", "text").collect()]
-    texts = [(i, w) for i, w in texts if len(w) >= span]
+    texts = [(i, w) for i, w in texts if len(w) >= (span or 1)]
     schema = "doc_id string, item_id bigint, run int, score int, share double"
     if not texts:
         return spark.createDataFrame([], schema).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    wanted = np.unique(np.concatenate([gram_codes(w, n) for _, w in texts]))
-    known = spark.sparkContext.broadcast(wanted)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, total, codes = known.value, np.zeros(len(known.value), np.int64), Codes()
-        for b in batches:
-            for t in b["text"]:
-                g = np.unique(gram_codes(word_codes(words_of(t), codes), n))
-                at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                np.add.at(total, at[grams[at] == g], 1)
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"at": some, "n": total[some]})
-
-    # bounded by the items' n-grams, whatever the corpus
-    counted = documents.select("text").mapInPandas(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    frequency = {int(wanted[r["at"]]): r.n for r in counted}
-    of: dict[int, list[int]] = {}
+    of: dict[int, dict[int, list[int]]] = {}  # items of each seed, by its words
+    frequency = {} if span is None else frequencies(documents, np.unique(np.concatenate([gram_codes(w, n) for _, w in texts])), n)
     for k, (_, w) in enumerate(texts):
-        for s in seeds(w, frequency, span, n):
-            of.setdefault(s, []).append(k)
-    plan = spark.sparkContext.broadcast((texts, [np.unique(gram_codes(w, n)) for _, w in texts], np.array(sorted(of), np.uint64), of))
-    enough = min(LEAST_SHARED, span - n + 1)
+        size_ = min(n, len(w))
+        for s in set(gram_codes(w, size_).tolist()) if span is None else seeds(w, frequency, span, n):
+            of.setdefault(size_, {}).setdefault(s, []).append(k)
+    plan = spark.sparkContext.broadcast((texts, {m: (np.array(sorted(by), np.uint64), by) for m, by in of.items()}))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (items_, grams, rare, by), codes = plan.value, Codes()
+        (items_, wanted), codes = plan.value, Codes()
         for b in batches:
             pairs: list[tuple] = []
             for doc, t in zip(b["doc_id"], b["text"]):
                 w = word_codes(words_of(t), codes)
-                g = gram_codes(w, n)
-                at = np.minimum(np.searchsorted(rare, g), len(rare) - 1)
-                hit = set(g[rare[at] == g].tolist())
-                all_ = np.unique(g) if hit else g
-                for k in sorted({k for s in hit for k in by[s]}):
-                    item, own = items_[k]
-                    place = np.minimum(np.searchsorted(all_, grams[k]), len(all_) - 1)
-                    if (all_[place] == grams[k]).sum() < min(enough, len(grams[k])):
-                        continue
-                    pairs.append((doc, item, w, own))
+                met: set[int] = set()
+                for m, (known, by) in wanted.items():
+                    g = gram_codes(w, m)
+                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    met.update(k for s in set(g[known[at] == g].tolist()) for k in by[s])
+                pairs += [(doc, items_[k][0], w, items_[k][1]) for k in sorted(met)]
             pairs.sort(key=lambda x: len(x[2]))  # alike lengths side by side
             out = []
             for i in range(0, len(pairs), PAIRS):

@@ -8,6 +8,7 @@ import pytest
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vectrine.llm import leakage as L
 from vectrine.llm import quality as Q
@@ -138,6 +139,52 @@ def test_seeds_do_not_depend_on_the_size_of_the_corpus(spark):
     assert len(leaks_of(spark, docs, [" ".join(words)], L.leaks)) == 155
 
 
+def test_alignment_of_passages_of_a_long_text(spark):
+    """Copies far apart, one of them over many passages of repeated seeds, score as in the whole text."""
+    rng = np.random.default_rng(5)
+    item = [f"w{i}" for i in rng.integers(0, 60, 50)]
+    filler = lambda n: [f"x{i}" for i in rng.integers(0, 900, n)]
+    edited = [w if i % 9 else "new" for i, w in enumerate(item)]
+    docs = [filler(4000) + item[:30] + filler(5000) + edited + filler(3), item[10:20] * 80, filler(50) + item[:8] + filler(20) + item[8:]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    found = {r.doc_id: r for r in L.leaks(d, i).collect()}
+    for k, words in enumerate(docs):
+        number = {w: j + 1 for j, w in enumerate(dict.fromkeys([*item, *words]))}
+        run, score, _ = L.align([np.array([number[w] for w in words])], [np.array([number[w] for w in item])])
+        assert (found[k].run, found[k].score) == (run[0], score[0])
+
+
+def test_edited_copies_are_found(spark):
+    """Words replaced, left out and put in, one of seven at most between seeds: recall and share of the item."""
+    rng = np.random.default_rng(6)
+    items = [[f"w{i}" for i in rng.integers(0, 400, 70)] for _ in range(20)]
+    docs, truth = [], set()
+    for k in range(200):
+        j = int(rng.integers(20))
+        copy, at = [], 0
+        while at < 70:
+            step = int(rng.integers(7, 14))
+            copy += items[j][at : at + step]
+            at += step
+            what = rng.integers(3)
+            if what == 0:
+                copy.append("new")
+            elif what == 1:
+                copy.append("other")
+                at += 1
+            else:
+                at += 1
+        docs.append(" ".join([f"x{i}" for i in rng.integers(0, 900, 60)] + copy + [f"x{i}" for i in rng.integers(0, 900, 60)]))
+        truth.add((k, j))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    i = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r for r in L.leaks(d, i).where(F.col("score") >= L.MATCH * L.SPAN).collect()}
+    assert set(found) == truth and min(r.share for r in found.values()) > 0.9
+    blocks = L.leaks(d, i, most_words=300)
+    assert {(r.doc_id, r.item_id): r for r in blocks.where(F.col("score") >= L.MATCH * L.SPAN).collect()} == found
+
+
 # tokens
 
 

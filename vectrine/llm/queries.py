@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vectrine.llm.ballhash import near_groups, near_pairs
 from vectrine.llm.coverage import varied_subset
 from vectrine.llm.knn import nearest, raw_bytes
-from vectrine.llm.leakage import exact_leaks, leaks
+from vectrine.llm.leakage import MATCH, SPAN, exact_leaks, leaks
 from vectrine.llm.linkage import described_clusters, linked_clusters
 from vectrine.llm.quality import is_junk, text_quality
 from vectrine.llm.tokenize import encode_texts
@@ -96,8 +96,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and item that share a seed, with their alignment; also edited and paraphrased copies."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Every document and item that share a seed, with their alignment; ``leaked`` where it scores as much as a whole window of words or a whole shorter item."""
+    items = table(spark, sf_dir, "eval_items")
+    return leaks(table(spark, sf_dir, "documents"), items).withColumn("leaked", (F.col("score") >= MATCH * SPAN) | ((F.col("share") == 1) & (F.col("score") < MATCH * SPAN)))
 
 
 @query

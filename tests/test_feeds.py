@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from vectrine.operators.records import current_rows, is_usable, usable_records
 from vectrine.operators.schema_drift import assign, canonical, column_names, drift_report, edit_script, one_table, parse_object
 from vectrine.session import shared_path
-from vectrine.sources.sync import run_deltas
+from vectrine.sources import versioned
+from vectrine.sources.sync import handle_runs, run_deltas, seen_by
 from vectrine.sources.versioned import FILE, POSITION, CommitConflict, VersionedTable, changed_keys, process_new
 
 VECTORS = "id string, vector array<float>, metadata string, timestamp bigint, last_accessed bigint, access_count bigint, file_no bigint, ingested_at timestamp, extra int"
@@ -48,6 +49,43 @@ def test_a_version_is_committed_once(spark):
         t._publish({"version": 1, "files": [], "deleted": {}, "schema": None, "about": {}})
 
 
+def test_manifests_between_full_lists(spark, monkeypatch):
+    monkeypatch.setattr(versioned, "SNAPSHOT", 3)
+    t = VersionedTable(spark, shared_path(spark, "t"))
+    for i in range(5):
+        t.commit(add=spark.createDataFrame([(i,)], "k int").coalesce(1), delete=t.read(positions=True).where(f"k = {i} - 2").select(FILE, POSITION) if i > 1 else None)
+    assert rows_of(VersionedTable(spark, t.path).read()) == [(3,), (4,)]
+    assert [rows_of(t.read(v)) for v in (1, 3, 4)] == [[(0,)], [(1,), (2,)], [(2,), (3,)]]
+    assert [len(t.manifest(v)["files"]) for v in range(6)] == list(range(6))
+    told = rows_of(t.changes(0, 5))
+    assert told == sorted([(i, i + 1, "added") for i in range(5)] + [(i, i + 3, "removed") for i in range(3)])
+    assert rows_of(t.changes(3, 5)) == [(1, 4, "removed"), (2, 5, "removed"), (3, 4, "added"), (4, 5, "added")]
+    t.commit(remove_files=tuple(t.latest()["files"]))
+    t.compact()
+    assert rows_of(t.changes(5, 7)) == [(3, 6, "removed"), (4, 6, "removed")]
+    assert t.read().isEmpty()
+
+
+def test_two_workers_of_a_consumer_handle_a_record_once(spark):
+    source, sink = VersionedTable(spark, shared_path(spark, "s")), VersionedTable(spark, shared_path(spark, "k"))
+    source.commit(add=spark.range(5))
+    plain = lambda d: d.select("id")
+    other = []
+
+    def slow(d):
+        if not other:  # the second worker commits while the first is at work
+            other.append(process_new(source, VersionedTable(spark, sink.path), plain))
+        return d.select("id")
+
+    assert process_new(source, sink, slow) is None and other == [1]
+    assert rows_of(sink.read()) == [(i,) for i in range(5)] and sink.versions() == [1]
+    base = sink.latest()
+    sink.commit(add=spark.range(1))
+    with pytest.raises(CommitConflict):
+        sink.commit(add=spark.range(1), base=base)
+    assert len(sink._files("data")) == len(sink.latest()["files"])  # what the lost commit wrote is gone
+
+
 def test_each_record_is_processed_once_in_spite_of_failures(spark):
     source, sink = VersionedTable(spark, shared_path(spark, "s")), VersionedTable(spark, shared_path(spark, "k"))
     source.commit(add=spark.range(3))
@@ -70,7 +108,7 @@ def test_each_record_is_processed_once_in_spite_of_failures(spark):
 
 def test_changed_keys(spark):
     d = spark.createDataFrame([(1, "a", 5), (1, "b", None), (2, "a", 5), (2, "b", 1), (3, "a", 6), (3, None, 9), (3, "b", 1)], "v int, k string, o bigint")
-    assert rows_of(changed_keys(d, "k", "v", "o")) == [(1, "a"), (1, "b"), (2, "b"), (3, "a")]
+    assert rows_of(changed_keys(d, "k", "v", "o")) == [(1, "a", 5), (1, "b", -(2**63)), (2, "b", 1), (3, "a", 6)]
 
 
 def vector_rows(spark, rows):
@@ -89,6 +127,25 @@ def test_run_deltas(spark):
     assert run_deltas(v.limit(0), runs).isEmpty()
 
 
+def test_runs_are_handled_as_they_come(spark):
+    source, sink = VersionedTable(spark, shared_path(spark, "s")), VersionedTable(spark, shared_path(spark, "k"))
+    arrive = lambda run, rows: source.commit(add=spark.createDataFrame(rows, "id string, changed bigint"), about={"run_id": run})
+    arrive(7, [("a", 1), ("b", None), ("b", 2), (None, 1)])
+    assert handle_runs(source, sink) == 1 and handle_runs(source, sink) is None
+    arrive(3, [("a", 1), ("b", 3)])
+    arrive(9, [("a", 2), ("b", 3), ("c", None)])
+    source.commit(delete=source.read(positions=True).where("id = 'a'").select(FILE, POSITION), about={"run_id": 11})
+    handle_runs(source, sink)
+    assert rows_of(sink.read().select("run_id", "id")) == [(3, "b"), (7, "a"), (7, "b"), (9, "a"), (9, "c")]
+
+
+def test_the_run_that_sees_a_row(spark):
+    hours = [2, 2, 30, 31, 100]
+    rows = spark.createDataFrame([(i, None if h is None else at(h)) for i, h in enumerate([-9000, 2, 2.5, 30, 30.5, 75, 100, 101, None])], "i int, t timestamp")
+    found = dict(rows_of(seen_by(rows, "t", [at(h) for h in hours], "timestamp")))
+    assert found == {0: 1, 1: 1, 2: 3, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
 def test_current_rows(spark):
     v = vector_rows(spark, [("a", 1, 9, 1), ("a", 2, 0, 0), ("a", 2, 5, 2), ("b", None, None, None), (None, 5, 5, 5), ("c", 0, 3, 1), ("c", 2, 9, 1)])
     assert rows_of(current_rows(v, "timestamp", "last_accessed")) == [("a", 2, 5), ("b", None, None), ("c", 0, 3)]

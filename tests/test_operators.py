@@ -280,7 +280,7 @@ def test_vector_table(spark):
     with pytest.raises(NotFound):
         t.update_vector("z", [1.0, 1.0], 1)
     told = t.update_batch(spark.createDataFrame([("a", '{"x": 5}'), ("z", "{}")], "id string, metadata string"), 11)
-    assert told == {"succeeded": 1, "failed": 1, "missing": ["z"]}
+    assert (told["succeeded"], told["failed"]) == (1, 1) and told["errors"].collect() == [("z", "there is no such record")]
     assert [r.id for page in t.pages(1) for r in page] == ["a", "b"] and [r.id for r in t.page("a", 5).collect()] == ["b"]
     assert t.delete(spark.createDataFrame([("a",), ("a",), ("q",)], "id string")) == 1
     t.compact()
@@ -290,6 +290,36 @@ def test_vector_table(spark):
     assert [progress(1, 3), progress(0, 0), rows_in_budget(10**9)] == [33, 100, 1]
 
 
+def test_batch_updates_tell_every_failure(spark):
+    t = VectorTable(spark, shared_path(spark, "v"), 2)
+    t.put(spark.createDataFrame([(k, [3.0, 4.0], '{"x": 1, "y": "1"}') for k in "abc"], "id string, vector array<float>, metadata string"), 5)
+    rows = [("a", [1.0], '{"x": 9}', 1), ("b", [0.0, 2.0], '{"x": 2}', 1), ("b", None, '{"x": 3, "z": [null]}', 3), ("b", [0.0, 1.0], '{"x": "4"}', 2), ("c", None, "[1]", 1), ("q", None, None, 1), (None, None, None, 1)]
+    told = t.update_batch(spark.createDataFrame(rows, "id string, vector array<float>, metadata string, seq int"), 9, seq="seq")
+    assert (told["succeeded"], told["failed"]) == (4, 3)
+    assert sorted((r.id or "", r.error) for r in told["errors"].collect()) == [("", "there is no such record"), ("a", "the vector has another dimension"), ("q", "there is no such record")]
+    b = t.get("b")
+    assert b["vector"] == [0.0, 1.0] and b["normalized"] and json.loads(b["metadata"]) == {"x": 3, "y": "1", "z": [None]}
+    assert t.get("a")["timestamp"] == 5 and json.loads(t.get("c")["metadata"]) == {"x": 1, "y": "1"} and t.count() == 3
+
+
+def test_upserts_at_the_same_time_leave_an_id_once(spark):
+    path = shared_path(spark, "v")
+    one, other = VectorTable(spark, path, 1), VectorTable(spark, path, 1)
+    rows = lambda x: spark.createDataFrame([("a", [x])], "id string, vector array<float>")
+    one.put(rows(1.0), 1)
+    plain, late = one._positions, []
+
+    def positions(ids, base):  # the other table is written after the first has read where its ids are
+        found = plain(ids, base)
+        if not late:
+            late.append(other.put(rows(2.0), 2))
+        return found
+
+    one._positions = positions
+    assert one.put(rows(3.0), 3) == 3 and late == [2]
+    assert [r.vector for r in one.all().collect()] == [[3.0]]
+
+
 # codecs
 
 

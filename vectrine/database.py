@@ -74,10 +74,14 @@ class Database:
     def create(self, name: str, dimension: int, metric: str = "cosine", description: str | None = None, now_ms: int = 0) -> Collection:
         """A new namespace; an error if there is one of this name."""
         check_name(name)
-        if name in self.names():
-            raise NamespaceError(f"the namespace {name} exists")
         made = Collection(self.spark, f"{self.path}/ns/{name}", whole(dimension, 1, 100_000, "dimension"), metric)
-        self._registry.commit(add=self.spark.createDataFrame([(name, dimension, metric, description, now_ms)], self.SCHEMA))
+
+        def write(base: dict) -> None:
+            if name in self.names():
+                raise NamespaceError(f"the namespace {name} exists")
+            self._registry.commit(add=self.spark.createDataFrame([(name, dimension, metric, description, now_ms)], self.SCHEMA), base=base)
+
+        self._registry.retry(write)
         return made
 
     def get(self, name: str = DEFAULT) -> Collection:
@@ -98,8 +102,7 @@ class Database:
             raise NamespaceError(f"there is no namespace {name}")
         from vectrine.sources.versioned import FILE, POSITION
 
-        gone = self._registry.read(positions=True).where(F.col("namespace") == name).select(FILE, POSITION)
-        self._registry.commit(delete=gone)
+        self._registry.retry(lambda base: self._registry.commit(delete=self._registry.read(base["version"], positions=True).where(F.col("namespace") == name).select(FILE, POSITION), base=base))
         drop(self.spark, f"{self.path}/ns/{name}")
 
     def describe(self) -> str:

@@ -8,12 +8,12 @@ access is noted by ``touch`` in a log that ``fold_accesses`` applies.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType
 
 from vectrine.functions.vectors import magnitude
 from vectrine.operators.filters import compile_filter
@@ -24,6 +24,9 @@ SCHEMA = "id string, vector array<float>, metadata string, magnitude double, for
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+BAD_RECORD = "a record has no id, or a vector of another dimension"
+
+
 class NotFound(KeyError):
     """No record has this id."""
 
@@ -42,6 +45,25 @@ def merge_metadata(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([json.dumps(obj(a) | obj(b)) for a, b in zip(old, new)])
 
 
+@F.pandas_udf(MapType(StringType(), StringType()))
+def metadata_fields(text: pd.Series) -> pd.Series:
+    """Top-level fields of an object as JSON texts, their names too; none of text that is no object."""
+
+    def fields(t: str | None) -> dict:
+        try:
+            found = json.loads(t) if t else {}
+        except ValueError:
+            return {}
+        return {json.dumps(k): json.dumps(v) for k, v in found.items()} if isinstance(found, dict) else {}
+
+    return text.map(fields)
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """With the length of the vector, and whether it is 1."""
+    return rows.withColumn("magnitude", magnitude(F.col("vector"))).withColumn("normalized", F.abs(F.col("magnitude") - 1) < 1e-6)
+
+
 def last_of_each(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """Of rows with the same id the one of the greatest ``seq``."""
     others = [c for c in rows.columns if c != "id"]
@@ -69,10 +91,15 @@ class VectorTable:
     def count(self) -> int:
         return self.all().count()
 
-    def _positions(self, ids: DataFrame) -> DataFrame:
-        rows = self.files.read(positions=True) if self.files.versions() else None
-        if rows is None:
+    def _rows(self, base: dict) -> DataFrame:
+        """Records of a version."""
+        return self.files.read(base["version"]) if base["version"] else self.spark.createDataFrame([], SCHEMA)
+
+    def _positions(self, ids: DataFrame, base: dict) -> DataFrame:
+        """Where the ids are in a version. What is written on it has to be committed on it, too."""
+        if not base["version"]:
             return self.spark.createDataFrame([], f"{FILE} string, {POSITION} long")
+        rows = self.files.read(base["version"], positions=True)
         return rows.select("id", FILE, POSITION).join(ids.select("id").distinct(), "id", "left_semi").select(FILE, POSITION)
 
     def put(self, rows: DataFrame, now_ms: int, seq: str | None = None, about: dict | None = None) -> int:
@@ -83,10 +110,9 @@ class VectorTable:
         the commit.
         """
         v = F.col("vector")
-        bad = rows.where(F.col("id").isNull() | (F.col("id") == "") | v.isNull() | (F.size("vector") != self.dimension)).limit(1)
-        if not bad.isEmpty():
-            raise ValueError("a record has no id, or a vector of another dimension")
-        one = last_of_each(rows, seq) if seq else rows.dropDuplicates(["id"])
+        bad = F.coalesce((F.col("id") == "") | (F.size("vector") != self.dimension), F.lit(True)) | v.isNull()
+        checked = rows.withColumn("id", F.when(bad, F.raise_error(F.lit(BAD_RECORD))).otherwise(F.col("id")))
+        one = last_of_each(checked, seq) if seq else checked.dropDuplicates(["id"])
         has = one.columns
         given = lambda c, other, kind: F.coalesce(F.col(c).cast(kind), other) if c in has else other
         length = magnitude(v)
@@ -94,9 +120,17 @@ class VectorTable:
             "id", v.cast("array<float>").alias("vector"), given("metadata", F.lit(None).cast("string"), "string").alias("metadata"), length.alias("magnitude"), given("format", F.lit("float32"), "string").alias("format"),
             (F.abs(length - 1) < 1e-6).alias("normalized"), given("timestamp", F.lit(now_ms), "bigint").cast("bigint").alias("timestamp"), F.lit(now_ms).cast("bigint").alias("last_accessed"), F.lit(0).cast("bigint").alias("access_count"),
         )
-        full = materialize(full, "put")
-        about = {**self.files.latest()["about"], **(about or {})}
-        return self.files.commit(add=full, delete=self._positions(full) if self.files.versions() else None, about=about)
+        try:
+            full = materialize(full, "put")
+        except Exception as e:
+            if BAD_RECORD in str(e):
+                raise ValueError(BAD_RECORD) from None
+            raise
+
+        def write(base: dict) -> int:
+            return self.files.commit(add=full, delete=self._positions(full, base) if base["version"] else None, about={**base["about"], **(about or {})}, base=base)
+
+        return self.files.retry(write)
 
     def get(self, key: str) -> dict | None:
         """The record, or None."""
@@ -132,71 +166,104 @@ class VectorTable:
 
     def delete(self, ids: DataFrame) -> int:
         """Removes records and returns how many there were; missing ids are no error."""
-        if not self.files.versions():
-            return 0
-        gone = materialize(self._positions(ids), "gone")
-        n = gone.count()
-        if n:
-            self.files.commit(delete=gone)
-        return n
+
+        def write(base: dict) -> int:
+            gone = materialize(self._positions(ids, base), "gone")
+            n = gone.count()
+            if n:
+                self.files.commit(delete=gone, base=base)
+            return n
+
+        return self.files.retry(write)
 
     def clear(self) -> None:
         """Removes all records, in a version of its own."""
         if self.files.versions():
-            self.files.commit(add=self.all().limit(0), remove_files=tuple(self.files.latest()["files"]))
+            self.files.retry(lambda base: self.files.commit(remove_files=tuple(base["files"]), base=base))
 
     def destroy(self) -> None:
         """Deletes all files."""
         from vectrine.session import drop
 
         drop(self.spark, self.files.path)
+        self.files = VersionedTable(self.spark, self.files.path)
 
     def compact(self) -> int:
         return self.files.compact()
 
-    def _replace(self, rows: DataFrame) -> None:
+    def _change(self, key: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces a record by what ``change`` makes of it; :class:`NotFound` if there is none."""
+
+        def write(base: dict) -> None:
+            row = self._rows(base).where(F.col("id") == key)
+            if row.isEmpty():
+                raise NotFound(key)
+            self._replace(change(row), base)
+
+        self.files.retry(write)
+
+    def _replace(self, rows: DataFrame, base: dict) -> None:
         rows = materialize(rows.select(*COLUMNS), "replaced")
-        self.files.commit(add=rows, delete=self._positions(rows))
+        self.files.commit(add=rows, delete=self._positions(rows, base), base=base)
 
     def update_vector(self, key: str, vector: list[float], now_ms: int, keep_timestamp: bool = False) -> None:
         """New vector of a record, its length recomputed; :class:`NotFound` if there is none."""
         if len(vector) != self.dimension:
             raise ValueError(f"the vector has {len(vector)} elements, the table {self.dimension}")
-        row = self.all().where(F.col("id") == key)
-        if row.isEmpty():
-            raise NotFound(key)
-        new = row.withColumn("vector", F.array(*[F.lit(float(x)) for x in vector]).cast("array<float>")).withColumn("magnitude", magnitude(F.col("vector")))
-        new = new.withColumn("normalized", F.abs(F.col("magnitude") - 1) < 1e-6)
-        self._replace(new if keep_timestamp else new.withColumn("timestamp", F.lit(now_ms).cast("bigint")))
+
+        def change(row: DataFrame) -> DataFrame:
+            new = measured(row.withColumn("vector", F.array(*[F.lit(float(x)) for x in vector]).cast("array<float>")))
+            return new if keep_timestamp else new.withColumn("timestamp", F.lit(now_ms).cast("bigint"))
+
+        self._change(key, change)
 
     def update_metadata(self, key: str, metadata: dict, merge: bool = True, now_ms: int | None = None) -> None:
         """Merges, or replaces, the metadata of a record."""
-        row = self.all().where(F.col("id") == key)
-        if row.isEmpty():
-            raise NotFound(key)
         text = F.lit(json.dumps(metadata))
-        new = row.withColumn("metadata", merge_metadata(F.col("metadata"), text) if merge else text)
-        self._replace(new if now_ms is None else new.withColumn("timestamp", F.lit(now_ms).cast("bigint")))
 
-    def update_batch(self, changes: DataFrame, now_ms: int) -> dict:
-        """Applies ``(id, vector?, metadata?)`` rows, metadata always merged: ``{succeeded, failed, missing}``; ``missing`` holds 1000 ids at most.
+        def change(row: DataFrame) -> DataFrame:
+            new = row.withColumn("metadata", merge_metadata(F.col("metadata"), text) if merge else text)
+            return new if now_ms is None else new.withColumn("timestamp", F.lit(now_ms).cast("bigint"))
 
-        Of repeated ids one row is applied. Rows with a null field keep the old value.
+        self._change(key, change)
+
+    def update_batch(self, changes: DataFrame, now_ms: int, seq: str | None = None) -> dict:
+        """Applies ``(id, vector?, metadata?)`` rows, metadata always merged: ``{succeeded, failed, errors}``.
+
+        Rows of the same id are applied in the order of ``seq``, without one in
+        that of the rows as they are read. Null fields keep the old value. A row
+        fails as a whole if its vector has another dimension, or no record has
+        its id; ``errors`` is a table ``(id, error)`` of all of them. The other
+        numbers count rows, too.
         """
-        given = changes.dropDuplicates(["id"])
-        new_v = F.col("_v") if "vector" in given.columns else F.lit(None).cast("array<float>")
-        new_m = F.col("_m") if "metadata" in given.columns else F.lit(None).cast("string")
-        names = [F.col("id")] + ([F.col("vector").cast("array<float>").alias("_v")] if "vector" in given.columns else []) + ([F.col("metadata").alias("_m")] if "metadata" in given.columns else [])
-        met = self.all().join(given.select(*names), "id")
-        vector = F.when(F.size(new_v) == self.dimension, new_v).otherwise(F.col("vector"))
-        new = met.withColumn("metadata", F.when(new_m.isNull(), F.col("metadata")).otherwise(merge_metadata(F.col("metadata"), new_m))).withColumn("vector", vector)
-        new = new.withColumn("magnitude", magnitude(F.col("vector"))).withColumn("normalized", F.abs(F.col("magnitude") - 1) < 1e-6).withColumn("timestamp", F.lit(now_ms).cast("bigint"))
-        new = materialize(new.select(*COLUMNS), "updated")
-        lost = given.select("id").join(new.select("id"), "id", "left_anti")
-        done, failed = new.count(), lost.count()
-        if done:
-            self._replace(new)
-        return {"succeeded": done, "failed": failed, "missing": [r.id for r in lost.limit(1000).collect()]}
+        has_v, has_m = "vector" in changes.columns, "metadata" in changes.columns
+        rows = changes.select(
+            "id", (F.col(seq) if seq else F.monotonically_increasing_id()).alias("_seq"),
+            (F.col("vector").cast("array<float>") if has_v else F.lit(None).cast("array<float>")).alias("_v"), (F.col("metadata") if has_m else F.lit(None).cast("string")).alias("_m"),
+        )
+        rows = materialize(rows, "changes")
+        wrong = F.coalesce(F.col("_v").isNotNull() & (F.size("_v") != self.dimension), F.lit(False))
+        fit = rows.where(~wrong)
+        # the last vector and the last value of each top-level field, so that an id of any number of rows is reduced on the way
+        vectors = fit.groupBy("id").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_seq"))).alias("_v"), F.count(F.lit(1)).alias("_n"))
+        fields = fit.where(F.col("_m").isNotNull()).select("id", "_seq", F.explode(metadata_fields(F.col("_m"))).alias("_key", "_value"))
+        last = fields.groupBy("id", "_key").agg(F.max_by("_value", "_seq").alias("_value"))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_key", "_value"))), lambda x: F.concat(x["_key"], F.lit(":"), x["_value"])), ","), F.lit("}"))
+        given = materialize(vectors.join(last.groupBy("id").agg(text.alias("_m")), "id", "left"), "given")
+
+        def write(base: dict) -> dict:
+            met = self._rows(base).join(given, "id")
+            new = met.withColumn("metadata", F.when(F.col("_m").isNull(), F.col("metadata")).otherwise(merge_metadata(F.col("metadata"), F.col("_m"))))
+            new = measured(new.withColumn("vector", F.coalesce("_v", "vector"))).withColumn("timestamp", F.lit(now_ms).cast("bigint"))
+            new = materialize(new.select(*COLUMNS, "_n"), "updated")
+            done = new.agg(F.sum("_n")).first()[0] or 0
+            lost = fit.join(new.select("id"), "id", "left_anti").select("id", F.lit("there is no such record").alias("error"))
+            errors = rows.where(wrong).select("id", F.lit("the vector has another dimension").alias("error")).unionByName(lost)
+            if done:
+                self._replace(new, base)
+            return {"succeeded": done, "failed": errors.count(), "errors": errors}
+
+        return self.files.retry(write)
 
     def touch(self, ids: DataFrame, now_ms: int, log: str) -> None:
         """Notes an access of each id in a log (a Parquet folder)."""
@@ -205,8 +272,8 @@ class VectorTable:
     def fold_accesses(self, log: str) -> None:
         """Applies a log of accesses to ``last_accessed`` and ``access_count``."""
         seen = self.spark.read.parquet(log).groupBy("id").agg(F.max("at").alias("_at"), F.count(F.lit(1)).alias("_n"))
-        new = self.all().join(seen, "id")
-        self._replace(new.withColumn("last_accessed", F.greatest("last_accessed", "_at")).withColumn("access_count", F.col("access_count") + F.col("_n")))
+        later, more = F.greatest("last_accessed", "_at"), F.col("access_count") + F.col("_n")
+        self.files.retry(lambda base: self._replace(self._rows(base).join(seen, "id").withColumns({"last_accessed": later, "access_count": more}), base))
 
 
 def batch_numbers(rows: DataFrame, order: str, size: int) -> DataFrame:

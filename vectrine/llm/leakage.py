@@ -65,33 +65,38 @@ def align_diagonals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     (p, m), n = a.shape, b.shape[1]
     low = int(n + 1).bit_length()
-    kind = np.int32 if (MATCH * min(m, n) + 2) << low < 2**31 else np.int64
-    one = kind(1 << low)
-    padded = np.zeros((p, m + 2 * (n - 1)), a.dtype)
-    padded[:, n - 1 : n - 1 + m] = a[:, ::-1]
-    fresh = np.arange(n + 1, dtype=kind)
-    last, before = np.tile(fresh, (p, 1)), np.tile(fresh, (p, 1))
-    best, cell, other = last.copy(), np.empty((p, n), kind), np.empty((p, n), kind)
-    run, longest, same = [np.zeros((p, n + 1), np.int32) for _ in range(3)], np.zeros((p, n), np.int32), np.empty((p, n), bool)
+    most = (MATCH * min(m, n) + 2) << low
+    kind = np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64
+    one, narrow = kind(1 << low), np.int16 if max(m, n) < 2**15 else np.int32
+    if max(int(a.max()), int(b.max())) < 2**15:
+        a, b = a.astype(np.int16), b.astype(np.int16)
+    # pairs are the inner axis, so that a shift by a column is one stretch of memory
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    padded = np.zeros((m + 2 * (n - 1), p), a.dtype)
+    padded[n - 1 : n - 1 + m] = a[::-1]
+    fresh = np.arange(n + 1, dtype=kind)[:, None]
+    last, before = np.repeat(fresh, p, 1), np.repeat(fresh, p, 1)
+    best, cell, other = last.copy(), np.empty((n, p), kind), np.empty((n, p), kind)
+    run, longest, same = [np.zeros((n + 1, p), narrow) for _ in range(3)], np.zeros((n, p), narrow), np.empty((n, p), bool)
     for d in range(m + n - 1):
         r = m + n - 2 - d
-        np.equal(padded[:, r : r + n], b, out=same)
+        np.equal(padded[r : r + n], b, out=same)
         np.multiply(same, one * kind(MATCH - MISMATCH), out=cell)
-        cell += before[:, :-1]
+        cell += before[:-1]
         cell += one * kind(MISMATCH)
-        np.maximum(last[:, 1:], last[:, :-1], out=other)
+        np.maximum(last[1:], last[:-1], out=other)
         other += one * kind(GAP)
         np.maximum(cell, other, out=cell)
-        np.maximum(cell, fresh[1:], out=before[:, 1:])
+        np.maximum(cell, fresh[1:], out=before[1:])
         last, before = before, last
         np.maximum(best, last, out=best)
-        new = run[d % 3][:, 1:]
-        np.add(run[(d - 2) % 3][:, :-1], 1, out=new)
+        new = run[d % 3][1:]
+        np.add(run[(d - 2) % 3][:-1], 1, out=new)
         new *= same
         np.maximum(longest, new, out=longest)
-    at = best.argmax(1)
-    top = best[np.arange(p), at]
-    return longest.max(1), (top >> low).astype(np.int64), (at - (top & (one - 1))).astype(np.int64)
+    at = best.argmax(0)
+    top = best[at, np.arange(p)]
+    return longest.max(0).astype(np.int64), (top >> low).astype(np.int64), (at - (top & (one - 1))).astype(np.int64)
 
 
 def align_cut(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

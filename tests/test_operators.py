@@ -124,6 +124,25 @@ def test_batch_search_is_exact(spark, points, name):
         assert [i for _, i in sorted(got[q])] == [i for _, i in sorted(d)[:5]]
 
 
+@pytest.mark.parametrize("name", sorted(S._KERNELS))
+def test_distances_of_blocks(spark, points, name):
+    """Blocks of queries of several lengths, repeated ones and null ones, against rows with nulls: as pair by pair."""
+    x, df = points
+    odd = spark.createDataFrame([(950, [1.0, None]), (951, [2.0]), (952, [float("inf")] + [0.0] * 11), (953, [])], "id bigint, vector array<float>")
+    rows = df.select("id", "vector").unionByName(odd)
+    asked = rows.where("id in (0, 7, 10, 11, 50, 900, 901, 950, 953)").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    asked = asked.unionByName(asked.where("qid < 11"))
+    pairs = rows.join(asked.distinct()).withColumn("d", M.distance(F.col("vector"), F.col("qvec"), name)).where("d is not null")
+    plain = {(r.qid, r.id): r.d for r in pairs.select("qid", "id", "d").collect()}
+    for most in (3, 100):
+        found = S.all_distances(rows, asked, name, most).collect()
+        assert len(found) == len(plain) and {(r.qid, r.id) for r in found} == set(plain)
+        for r in found:
+            assert r.distance == pytest.approx(plain[r.qid, r.id], abs=1e-9, nan_ok=True)
+    few, many = (sorted(tuple(r)[:2] + (r.place,) for r in S.batch_search(rows.where("id <> 952"), asked, 4, name, most=m).collect()) for m in (3, 100))
+    assert few == many and len(few) == 5 * 4 + 2 * 1 + 1
+
+
 def test_knn_plan_is_a_distributed_top_k(points):
     plan = S.knn(points[1], [1.0] * 12, 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan

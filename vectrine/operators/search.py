@@ -6,7 +6,7 @@ to ``RANK`` places, so that the order doesn't hang on the last bit of a sum.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,18 +134,75 @@ def progressive(df: DataFrame, query: list[float], name: str = "cosine", batch:
 
 # many queries
 
-_KERNELS = ("cosine", "euclidean", "dot")
+#: Elements of a block of distances that a task holds at once.
+CELLS = 4_000_000
 
 
-def _distances(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Distances of all queries to a block of rows by one matrix product."""
-    if name == "dot":
-        return -(q @ x.T)
-    if name == "cosine":
-        n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-        return np.where(n == 0, 1.0, 1 - (q @ x.T) / np.where(n == 0, 1.0, n))
-    square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-    return np.sqrt(np.maximum(square, 0))
+def _sums(q: np.ndarray, x: np.ndarray, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over the elements of ``f`` for each pair, one element after the other."""
+    out = np.zeros((len(q), len(x)))
+    for i in range(q.shape[1]):
+        out += f(q[:, i, None], x[None, :, i])
+    return out
+
+
+def _euclidean(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
+    scale = square * 1e-6
+    square -= 2 * (q @ x.T)
+    i, j = np.nonzero(~(square > scale))  # near ones and not finite ones: the difference itself
+    square[i, j] = ((q[i] - x[j]) ** 2).sum(1)
+    return np.sqrt(square)
+
+
+def _cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+    return np.where(n == 0, 1.0, 1 - (q @ x.T) / np.where(n == 0, 1.0, n))
+
+
+def _hamming(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    a, b = (q > 0).astype(float), (x > 0).astype(float)
+    return a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
+
+
+def _jaccard(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    a, b = (q > 0).astype(float), (x > 0).astype(float)
+    both = a @ b.T
+    some = a.sum(1)[:, None] + b.sum(1)[None, :] - both
+    return np.where(some == 0, 0.0, 1 - both / np.where(some == 0, 1.0, some))
+
+
+def _weighted_jaccard(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    high = _sums(q, x, np.maximum)
+    return np.where(high == 0, 0.0, 1 - _sums(q, x, np.minimum) / np.where(high == 0, 1.0, high))
+
+
+#: Metrics of which all distances of a block are computed together; the others go pair by pair.
+_KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "cosine": _cosine, "euclidean": _euclidean, "dot": lambda q, x: -(q @ x.T), "manhattan": lambda q, x: _sums(q, x, lambda a, b: np.abs(a - b)), "hamming": _hamming, "jaccard": _jaccard,
+    "weighted_jaccard": _weighted_jaccard, "hamming_exact_frac": lambda q, x: _sums(q, x, np.not_equal) / max(q.shape[1], 1),
+}
+
+
+def _kernel(name: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):  # of elements that are not finite comes a distance that is no number
+        return _KERNELS[name](q, x)
+
+
+def _blocks(queries: DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The different queries (qid, qvec), a block of ``most`` or fewer at a time."""
+    asked = queries.select("qid", "qvec").where(F.col("qvec").isNotNull() & F.forall("qvec", lambda e: e.isNotNull()))
+    some = asked.limit(most + 1).toPandas()
+    if len(some) <= most:
+        same = [(n, tuple(v)) for n, v in zip(some["qid"], some["qvec"])]
+        yield some[~pd.Series(same, index=some.index, dtype=object).duplicated()]
+        return
+    asked = asked.distinct()
+    count = -(-2 * asked.count() // most)
+    for b in range(count):
+        part = asked.where(F.pmod(F.xxhash64("qid", "qvec"), F.lit(count)) == b).toPandas()
+        for a in range(0, len(part), most):
+            yield part.iloc[a : a + most]
 
 
 def collect_queries(queries: DataFrame, most: int = MOST_QUERIES) -> pd.DataFrame | None:
@@ -154,79 +211,112 @@ def collect_queries(queries: DataFrame, most: int = MOST_QUERIES) -> pd.DataFram
     return None if len(some) > most else some
 
 
-def batch_search(df: DataFrame, queries: DataFrame, k: int, name: str = "cosine", key: str = "id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    return np.array(vectors.to_list(), np.float64).reshape(len(vectors), width)
+
+
+def _by_width(some: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Matrix and names of the queries of each length."""
+    size = some["qvec"].map(len).to_numpy()
+    return {int(w): (_matrix(some["qvec"][size == w], int(w)), some["qid"][size == w].to_numpy()) for w in np.unique(size)}
+
+
+def _pieces(b: pd.DataFrame, asked: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(queries, their names, rows, their ids)`` of equal length, as many rows as a block of distances may have."""
+    size = b["vector"].map(len).to_numpy()
+    for w, (q, names) in asked.items():
+        rows = b[size == w]
+        step = max(1, CELLS // len(q))
+        for a in range(0, len(rows), step):
+            some = rows.iloc[a : a + step]
+            yield q, names, _matrix(some["vector"], w), some["id"].to_numpy()
+
+
+def _whole(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(id, vector)`` of rows with a vector that has no null in it."""
+    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    return rows.where(F.col("vector").isNotNull() & F.forall("vector", lambda e: e.isNotNull()))
+
+
+def batch_search(df: DataFrame, queries: DataFrame, k: int, name: str = "cosine", key: str = "id", vector: str = "vector", exclude_self: bool = False, most: int = MOST_QUERIES) -> DataFrame:
     """``(qid, id, distance, score, place)``: the ``k`` nearest rows of each query (qid, qvec).
 
-    A checked number of queries goes to all executors; for the metrics that are
-    matrix products, each task keeps its own ``k`` best of a query, so the
-    shuffle holds ``k`` rows for each query and task. More queries than
-    ``MOST_QUERIES`` are searched block by block, as are all queries for other
-    metrics: a join of the rows with a broadcast block.
+    Queries go to all executors in blocks of at most ``most``. A task computes
+    the distances of a block and its rows together and keeps its own ``k`` best
+    of each query, so the shuffle holds ``k`` rows for each query and task. A
+    repeated query counts once; of null vectors, and against rows of another
+    length, there is nothing. Registered metrics go pair by pair.
     """
     _check_k(k)
-    some = collect_queries(queries)
-    rows = df.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
-    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
     best = Window.partitionBy("qid").orderBy(*order())
-    if some is None:
-        blocks = max(1, -(-queries.count() // MOST_QUERIES)) + 1
-        found = None
-        for b in range(blocks):
-            part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-            one = _join_search(rows, part, k, name, exclude_self)
-            found = one if found is None else found.unionByName(one)
-        return found
-    if name not in _KERNELS or not len(some):
-        return _join_search(rows, queries, k, name, exclude_self)
-    width = len(some["qvec"].iloc[0])
-    ok = some["qvec"].map(len) == width
-    if not ok.all():
-        return _join_search(rows, queries, k, name, exclude_self)
-    shared = df.sparkSession.sparkContext.broadcast((np.stack(some["qvec"].to_list()).astype(np.float64), some["qid"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, names = shared.value
-        held = None
-        for b in batches:
-            b = b[[v is not None and len(v) == width for v in b["vector"]]]
-            if not len(b):
-                continue
-            x, ids = np.stack(b["vector"].to_list()).astype(np.float64), b["id"].to_numpy()
-            d = _distances(name, q, x)
-            rank = np.round(d, RANK)
-            keep = min(k + exclude_self, d.shape[1])
-            cut = np.partition(rank, keep - 1, axis=1)[:, keep - 1, None]
-            i, j = np.nonzero(rank <= cut)
-            new = pd.DataFrame({"i": i, "id": ids[j], "distance": d[i, j], "r": rank[i, j]})
-            held = new if held is None else pd.concat([held, new])
-            if exclude_self:
-                held = held[held["id"].to_numpy() != names[held["i"].to_numpy()]]
-            held = held.sort_values(["i", "r", "id"]).groupby("i").head(k)
-        if held is not None:
-            yield pd.DataFrame({"qid": names[held["i"].to_numpy()], "id": held["id"], "distance": held["distance"]})
-
-    found = rows.mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, distance double")
+    if name not in _KERNELS:
+        pairs = all_distances(df.select(F.col(key).alias("id"), F.col(vector).alias("vector")), queries, name, most)
+        pairs = pairs.where(F.col("qid") != F.col("id")) if exclude_self else pairs
+        return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    rows, spark = _whole(df, key, vector), df.sparkSession
+    kinds = dict(queries.dtypes)["qid"], dict(rows.dtypes)["id"]
+    found = None
+    for some in _blocks(queries, most):
+        shared = spark.sparkContext.broadcast(_by_width(some))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            held: dict[int, pd.DataFrame] = {}
+            asked = shared.value
+            for b in batches:
+                for q, names, x, ids in _pieces(b, asked) if len(b) else ():
+                    d = _kernel(name, q, x)
+                    rank = np.round(d, RANK)
+                    keep = min(k + exclude_self, d.shape[1])
+                    cut = np.partition(rank, keep - 1, axis=1)[:, keep - 1, None]
+                    i, j = np.nonzero(rank <= cut)
+                    new = pd.DataFrame({"i": i, "id": ids[j], "distance": d[i, j], "r": rank[i, j]})
+                    w = q.shape[1]
+                    new = pd.concat([held[w], new]) if w in held else new
+                    if exclude_self:
+                        new = new[new["id"].to_numpy() != names[new["i"].to_numpy()]]
+                    held[w] = new.sort_values(["i", "r", "id"]).groupby("i").head(k)
+            for w, best_ in held.items():
+                yield pd.DataFrame({"qid": asked[w][1][best_["i"].to_numpy()], "id": best_["id"], "distance": best_["distance"], "width": w})
+
+        one = rows.mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, distance double, width int")
+        found = one if found is None else found.unionByName(one)
+    found = found.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))  # pandas has null for it
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    return top.select("qid", "id", "distance", score(F.col("distance"), name, width).alias("score"), "place")
+    return top.select("qid", "id", "distance", _score(name).alias("score"), "place")
 
 
-def _join_search(rows: DataFrame, queries: DataFrame, k: int, name: str, exclude_self: bool) -> DataFrame:
-    pairs = all_distances(rows, queries, name)
-    if exclude_self:
-        pairs = pairs.where(F.col("qid") != F.col("id"))
-    best = Window.partitionBy("qid").orderBy(*order())
-    return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-
-
-def all_distances(rows: DataFrame, queries: DataFrame, name: str = "cosine") -> DataFrame:
-    """``(qid, id, distance, score)`` of a stated set of queries against all rows (id, vector)."""
-    asked = queries.select("qid", "qvec")
-    few = asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    met = rows.join(F.broadcast(asked) if few else asked)
-    d = distance(F.col("vector"), F.col("qvec"), name)
-    size = F.size("qvec")
-    value = 1 - F.col("distance") / F.nullif(size, F.lit(0)) if name == "hamming" else score(F.col("distance"), name)
-    return met.withColumn("distance", d).where(F.col("distance").isNotNull()).select("qid", "id", "distance", value.alias("score"))
+def _score(name: str) -> Column:
+    """Score of the columns ``distance`` and ``width``."""
+    return 1 - F.col("distance") / F.nullif(F.col("width"), F.lit(0)) if name == "hamming" else score(F.col("distance"), name)
+
+
+def all_distances(rows: DataFrame, queries: DataFrame, name: str = "cosine", most: int = MOST_QUERIES) -> DataFrame:
+    """``(qid, id, distance, score)`` of a stated set of queries against all rows (id, vector), in blocks of at most ``most`` queries."""
+    if name not in _KERNELS:
+        asked = queries.select("qid", "qvec").distinct()
+        blocks = max(1, -(-2 * asked.count() // most))
+        found = None
+        for b in range(blocks):
+            block = F.broadcast(asked.where(F.pmod(F.xxhash64("qid", "qvec"), F.lit(blocks)) == b))
+            met = rows.join(block).withColumn("distance", distance(F.col("vector"), F.col("qvec"), name)).where(F.col("distance").isNotNull()).withColumn("width", F.size("qvec"))
+            found = met if found is None else found.unionByName(met)
+        return found.select("qid", "id", "distance", _score(name).alias("score"))
+    whole, spark = _whole(rows, "id", "vector"), rows.sparkSession
+    kinds = dict(queries.dtypes)["qid"], dict(whole.dtypes)["id"]
+    found = None
+    for some in _blocks(queries, most):
+        shared = spark.sparkContext.broadcast(_by_width(some))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for q, names, x, ids in _pieces(b, shared.value) if len(b) else ():
+                    d = _kernel(name, q, x)
+                    yield pd.DataFrame({"qid": np.repeat(names, len(ids)), "id": np.tile(ids, len(names)), "distance": d.ravel(), "width": q.shape[1]})
+
+        one = whole.mapInPandas(run, f"qid {kinds[0]}, id {kinds[1]}, distance double, width int")
+        found = one if found is None else found.unionByName(one)
+    found = found.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
+    return found.select("qid", "id", "distance", _score(name).alias("score"))
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -305,3 +305,50 @@ def test_subset_covers_every_group_and_curbs_large_ones(spark):
 def test_subset_of_equal_vectors(spark):
     df = table(spark, np.ones((50, WIDTH), np.float32))
     assert varied_subset(df, 7, WIDTH).count() == 7 and varied_subset(df, 0, WIDTH).isEmpty()
+
+
+def test_subset_does_not_depend_on_the_layout(spark, data):
+    x, df, _ = data
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts, shuffles, pieces in ((1, "3", "128m"), (7, "16", "4k"), (40, "5", "64m")):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", pieces)
+            found.append(sorted(tuple(r) for r in varied_subset(df.repartition(parts), 60, WIDTH, pack_rows=100).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
+
+
+def test_threshold_rounds_come_close_to_greedy(spark, data):
+    from vectrine.llm import coverage as C
+
+    x, df, _ = data
+    tree, _ = K.fit(df, WIDTH, leaf_rows=C.LEAF_ROWS, alike=C.ALIKE)
+    feature, mass = C.Features(tree, WIDTH)(unit(x))
+    mass = mass / C.UNIT
+    total = np.bincount(feature.ravel(), mass.ravel())
+    weight = total**C.POWER
+
+    def worth(rows):
+        return (weight * np.sqrt(np.bincount(feature[rows].ravel(), mass[rows].ravel(), len(total)))).sum()
+
+    greedy, state = [], np.zeros(len(total))
+    for _ in range(60):
+        g = C.gains(weight, state, feature, mass)
+        g[greedy] = -1
+        greedy.append(int(g.argmax()))
+        np.add.at(state, feature[greedy[-1]], mass[greedy[-1]])
+    found = [int(r.id[1:]) for r in varied_subset(df, 60, WIDTH).collect()]
+    assert worth(found) >= 0.95 * worth(greedy)
+
+
+def test_cut_of_equal_gains(spark):
+    from vectrine.llm import coverage as C
+
+    rows = spark.createDataFrame([(f"a{i}", float(i % 3)) for i in range(900)], "id string, gain float")
+    for most in (0, 1, 299, 300, 301, 650, 900, 1000):
+        found = C._cut(rows, most, few=5).collect()
+        assert len({r.id for r in found}) == len(found) == min(most, 900) and sorted(r.gain for r in found) == sorted((float(i % 3) for i in range(900)), reverse=True)[: len(found)][::-1]

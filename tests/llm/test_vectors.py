@@ -163,6 +163,47 @@ def test_ties_and_repeated_queries(spark):
     assert K.nearest(df, q.limit(0), 2, 2).isEmpty()
 
 
+def true_neighbours(s, i, k):
+    return [j for _, j in sorted((-round(s[i, j], 9), ids(j)) for j in range(len(s)) if j != i)[:k]]
+
+
+@pytest.mark.parametrize("shelf_rows", [20, 60, 8192])
+def test_neighbours_of_every_row(data, monkeypatch, shelf_rows):
+    """Over one shelf, over many, and with leaves divided again."""
+    x, df, s = data
+    monkeypatch.setattr(K, "BIN_ROWS", 10)
+    plain = K.neighbours_of_different
+    monkeypatch.setattr(K, "neighbours_of_different", lambda v, w, k, t: plain(v, w, k, t, shelf_rows=shelf_rows))
+    found: dict = {}
+    for r in K.neighbours_of_all(df, WIDTH, 8).collect():
+        found.setdefault(r.query, []).append((r.n, r.id))
+    assert len(found) == len(x) and all([n for n, _ in sorted(f)] == list(range(1, 9)) for f in found.values())
+    hits = sum(len({j for _, j in found[ids(i)]} & set(true_neighbours(s, i, 8))) for i in range(len(x)))
+    assert hits / len(x) / 8 >= (1.0 if shelf_rows == 8192 else 0.99)
+
+
+def test_a_large_leaf_is_divided(data):
+    x, df, _ = data
+    tree = Tree(unit(x), 10**6)
+    base = K.placed(df, tree, WIDTH)
+    bins = K.divided(base, tree, WIDTH, len(x), 100)
+    shelved = K.binned(base, bins, 100)
+    assert tree.leaves == 1 and len(bins.directions) > 1
+    rows = shelved.groupBy("shelf").count().collect()
+    assert sum(r["count"] for r in rows) == len(x) and len(rows) > 3
+
+
+def test_neighbours_among_many_copies(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, WIDTH)), 300, 0), rng.standard_normal((90, WIDTH))]).astype(np.float32)
+    s = np.round(cosines(x), 9)
+    found: dict = {}
+    for r in K.neighbours_of_all(table(spark, x), WIDTH, 5).collect():
+        found.setdefault(r.query, []).append((r.n, r.id))
+    assert {q: [j for _, j in sorted(f)] for q, f in found.items()} == {ids(i): true_neighbours(s, i, 5) for i in range(len(x))}
+    assert K.neighbours_of_all(table(spark, x[:3]), WIDTH, 5).count() == 6 and K.neighbours_of_all(table(spark, x[:1]), WIDTH, 5).isEmpty() and K.neighbours_of_all(empty(spark), WIDTH, 5).isEmpty()
+
+
 # clusters
 
 

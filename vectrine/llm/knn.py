@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrine.llm.tree import Tree, unit, unit64
+from vectrine.llm.tree import Tree, k_means, unit, unit64
+from vectrine.session import materialize
 
 #: Rows that the tree is fitted on: an eighth of all, but no fewer and no more than these; rows of the calibration set, and its recall.
 LEAST_SAMPLE, MOST_SAMPLE, CALIBRATION, TARGET = 24_000, 100_000, 256, 0.999
@@ -98,7 +99,12 @@ def build(base: DataFrame, tree: Tree, width: int, rows: int, shelf_rows: int =
     count = np.zeros(tree.leaves, np.int64)
     for leaf, n in base.groupBy("leaf").count().collect():  # bounded by the leaves of a tree
         count[leaf] = n
-    first, salts, shelf, held = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, 0
+    return Index(tree, width, rows, *shelves_by(count, shelf_rows))
+
+
+def shelves_by(count: np.ndarray, shelf_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shelf and number of shelves of each leaf, by its number of rows."""
+    first, salts, shelf, held = np.zeros(len(count), np.int64), np.ones(len(count), np.int64), 0, 0
     for leaf, n in enumerate(count):
         if n > shelf_rows:
             shelf += held > 0
@@ -108,7 +114,7 @@ def build(base: DataFrame, tree: Tree, width: int, rows: int, shelf_rows: int =
         if held and held + n > shelf_rows:
             shelf, held = shelf + 1, 0
         first[leaf], held = shelf, held + n
-    return Index(tree, width, rows, first, salts)
+    return first, salts
 
 
 def on_shelves(base: DataFrame, index: Index) -> DataFrame:
@@ -284,3 +290,292 @@ def nearest(usable: DataFrame, queries: DataFrame, width: int, k: int, target: f
     sample = queries.select("raw").limit(CALIBRATION).toPandas()
     blocks = query_blocks(index, unit(matrix(sample["raw"], width)), visits, queries.count()) if len(sample) else None
     return search(base, queries, index, visits, keep, blocks)
+
+
+# every row
+
+
+#: Copies of a vector that are told apart in a result go by salts of this many rows; rows of a bin of a second level, and bins of all second levels at most.
+COPIES, BIN_ROWS, MOST_BINS = 16_384, 1_024, 65_536
+#: Added to the calibrated angle, in radians; places to which similarities are ranked.
+SLACK, RANK = 0.02, 9
+
+
+@dataclass
+class Bins:
+    """Leaves of a tree, the large ones divided again, with their shelves.
+
+    ``start`` is the first bin of each leaf, ``directions`` the mean directions
+    of the bins, ``first`` and ``salts`` their shelves.
+    """
+
+    index: Index
+    start: np.ndarray
+    directions: np.ndarray
+
+    def place(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Bin of each row: in a divided leaf the nearest."""
+        out = self.start[leaf]
+        for one in np.unique(leaf[(self.start[1:] - self.start[:-1])[leaf] > 1]):
+            rows, a, z = np.flatnonzero(leaf == one), self.start[one], self.start[one + 1]
+            out[rows] = a + (x[rows] @ self.directions[a:z].T).argmax(1)
+        return out.astype(np.int32)
+
+    def near_others(self, x: np.ndarray, widest: np.ndarray, visits: int, shelf: int) -> list[np.ndarray]:
+        """For each row the bins it has to look at: of the first ``visits`` leaves in best-bin-first order those no further away than ``widest``.
+
+        None for rows that are that near to no bin on another shelf than ``shelf``.
+        """
+        least = np.where(widest < 0, 2.0, np.cos(np.clip(widest, 0, np.pi)) - 1e-6).astype(np.float32)
+        other = np.flatnonzero((self.index.first != shelf) | (self.index.salts > 1))
+        out, step = [np.empty(0, np.int64)] * len(x), max(1, 4_000_000 // max(len(self.directions), 1))
+        for a in range(0, len(x), step):
+            s = x[a : a + step] @ self.directions.T >= least[a : a + step, None]
+            some = np.flatnonzero(s[:, other].any(1))
+            for i, leaves in zip(some, self.index.tree.best_bins(x[a + some], visits) if len(some) else ()):
+                bins = np.concatenate([np.arange(self.start[leaf], self.start[leaf + 1]) for leaf in leaves])
+                out[a + i] = bins[s[i, bins]]
+        return out
+
+    def shelves_of(self, bins: np.ndarray) -> np.ndarray:
+        first, salts = self.index.first[bins], self.index.salts[bins]
+        return np.unique(np.repeat(first, salts) + np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts))
+
+
+def divided(base: DataFrame, tree: Tree, width: int, rows: int, shelf_rows: int) -> Bins:
+    """Divides the leaves that hold more than a shelf, each by a k-means of its own on a bounded sample of its rows, made in a task."""
+    spark = base.sparkSession
+    count = np.zeros(tree.leaves, np.int64)
+    for leaf, n in base.groupBy("leaf").count().collect():  # bounded by the leaves of a tree
+        count[leaf] = n
+    large = np.flatnonzero(count > shelf_rows)
+    wanted = -(-count[large] // BIN_ROWS)
+    wanted = np.maximum(2, np.minimum(wanted, wanted * MOST_BINS // max(wanted.sum(), 1)))
+    centres: dict[int, np.ndarray] = {}
+    if len(large):
+        plan = spark.createDataFrame([(int(a), int(w), min(1.0, 32.0 * int(w) / int(count[a]))) for a, w in zip(large, wanted)], "leaf int, wanted int, share double")
+
+        def split(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("id")
+            x = unit(matrix(group["raw"], width))
+            c = unit(k_means(x, min(int(group["wanted"].iloc[0]), len(x)), np.random.default_rng(7), 4)[0])
+            return pd.DataFrame({"leaf": [int(group["leaf"].iloc[0])], "c": [c.tobytes()]})
+
+        picked = base.join(F.broadcast(plan), "leaf").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.col("share") * (1 << 20))
+        for leaf, c in picked.groupBy("leaf").applyInPandas(split, "leaf int, c binary").collect():  # bounded by MOST_BINS
+            centres[leaf] = np.frombuffer(c, np.float32).reshape(-1, width)
+    own = tree.directions().astype(np.float32)
+    parts = [centres.get(i, own[i : i + 1]) for i in range(tree.leaves)]
+    start = np.cumsum([0, *map(len, parts)])
+    none = np.zeros(0, np.int64)
+    return Bins(Index(tree, width, rows, none, none), start, np.concatenate(parts))
+
+
+def binned(base: DataFrame, bins: Bins, shelf_rows: int) -> DataFrame:
+    """``(id, raw, leaf, shelf)`` with the bin as ``leaf``; sets the shelves of the bins."""
+    spark, width = base.sparkSession, bins.index.width
+    if len(bins.directions) > bins.index.tree.leaves:
+        shared = spark.sparkContext.broadcast(bins)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    yield b.assign(leaf=shared.value.place(unit(matrix(b["raw"], width)), b["leaf"].to_numpy()))
+
+        base = materialize(base.mapInPandas(run, BASE), "binned")
+    count = np.zeros(len(bins.directions), np.int64)
+    for leaf, n in base.groupBy("leaf").count().collect():  # bounded by the bins
+        count[leaf] = n
+    bins.index.first, bins.index.salts = shelves_by(count, shelf_rows)
+    return on_shelves(base, bins.index)
+
+
+def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: int = CALIBRATION) -> tuple[int, float]:
+    """Leaf visits, and angle beyond that of a row's k-th best on its own shelf, that a calibration set needs for the recall ``target``.
+
+    The true neighbours of the set come from brute force over all rows, and so
+    do the best ones on its own shelves. The angle is the widest that any of
+    the set needs.
+    """
+    if bins.index.rows < 2:
+        return 1, 0.0
+    chosen = sample_of(shelved, bins.index.rows, most, seed=1).select("id", "raw", "shelf").toPandas().sort_values("id")
+    width = bins.index.width
+    x, ids, home = unit(matrix(chosen["raw"], width)), chosen["id"].to_numpy(), chosen["shelf"].to_numpy()
+    shared = shelved.sparkSession.sparkContext.broadcast((x, ids, home))
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, names, at = shared.value
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            s = q @ unit(matrix(b["raw"], width)).T
+            s[names[:, None] == b["id"].to_numpy()[None, :]] = -2
+            same = at[:, None] == b["shelf"].to_numpy()[None, :]
+            for own, values in ((False, s), (True, np.where(same, s, -2))):
+                i, j = np.nonzero(top_of(values, k) & (values > -2))
+                new = pd.DataFrame({"q": i.astype(np.int32), "own": own, "s": values[i, j], "leaf": b["leaf"].to_numpy()[j], "same": same[i, j]})
+                held = new if held is None else pd.concat([held, new])
+            held = held.sort_values(["q", "own", "s"], ascending=[True, True, False]).groupby(["q", "own"]).head(k)
+        if held is not None:
+            yield held
+
+    best = Window.partitionBy("q", "own").orderBy(F.desc("s"), "leaf")
+    found = shelved.mapInPandas(exact, "q int, own boolean, s float, leaf int, same boolean").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).toPandas()
+    own = found[found["own"]].groupby("q")["s"].agg(["min", "size"])
+    reach = np.full(len(x), np.pi)
+    full = own.index[own["size"] >= k].to_numpy()
+    reach[full] = np.arccos(np.clip(own.loc[full, "min"].to_numpy(), -1, 1))
+    true = found[~found["own"]]
+    if not len(true):
+        return 1, 0.0
+    leaf_of = np.searchsorted(bins.start, true["leaf"].to_numpy(), side="right") - 1
+    rank = [{leaf: i + 1 for i, leaf in enumerate(o)} for o in bins.index.tree.best_bins(x, bins.index.tree.leaves)]
+    needed = np.sort([1 if same else rank[q][int(leaf)] for q, leaf, same in zip(true["q"], leaf_of, true["same"])])
+    visits = int(needed[max(0, int(np.ceil(target * len(needed))) - 1)])
+    away = true[~true["same"]]
+    q = away["q"].to_numpy()
+    excess = np.arccos(np.clip(np.einsum("ij,ij->i", x[q], bins.directions[away["leaf"].to_numpy()]), -1, 1)) - reach[q]
+    return visits, float(excess.max()) if len(excess) else 0.0
+
+
+HOME = "id string, raw binary, leaf int, shelf int, least float, near array<string>, closeness array<double>, shelves array<int>, bins array<int>"
+
+
+def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: float) -> DataFrame:
+    """Each row with its ``k`` best on its own shelf, and the other shelves and bins it has to look at."""
+    shared, width = shelved.sparkSession.sparkContext.broadcast(bins), bins.index.width
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        b = shared.value
+        group = group.sort_values("id", ignore_index=True)
+        raw, ids, shelf = matrix(group["raw"], width), group["id"].to_numpy(), int(group["shelf"].iloc[0])
+        x, x64 = unit(raw), unit64(raw)
+        out = {"least": [], "near": [], "closeness": [], "shelves": [], "bins": []}
+        for a in range(0, len(x), QUERY_BLOCK):
+            q = x[a : a + QUERY_BLOCK]
+            s = q @ x.T
+            s[np.arange(len(q)), np.arange(a, a + len(q))] = -2
+            i, j = np.nonzero(top_of(s, min(k + 4, s.shape[1])))
+            exact = np.einsum("ij,ij->i", x64[i + a], x64[j])
+            ok = j != i + a
+            i, j, exact = i[ok], j[ok], exact[ok]
+            order = np.lexsort((j, -np.round(exact, RANK), i))
+            i, j, exact = i[order], j[order], exact[order]
+            cut = np.searchsorted(i, np.arange(len(q) + 1))
+            widest = np.full(len(q), np.pi)
+            for row, (c, d) in enumerate(zip(cut, cut[1:])):
+                d = min(d, c + k)
+                full = d - c == k
+                out["least"].append(float(exact[d - 1]) - 1e-6 if full else -2.0)
+                out["near"].append(ids[j[c:d]])
+                out["closeness"].append(exact[c:d])
+                if full:
+                    widest[row] = np.arccos(np.clip(exact[d - 1], -1, 1)) + excess + SLACK
+            for some in b.near_others(q, widest, visits, shelf):
+                there = b.shelves_of(some) if len(some) else some
+                there = there[there != shelf]
+                out["shelves"].append(there.astype(np.int32))
+                out["bins"].append((some if len(there) else some[:0]).astype(np.int32))
+        return group.assign(**{name: pd.Series(v, index=group.index) for name, v in out.items()})[[c.split()[0] for c in HOME.split(", ")]]
+
+    return shelved.select("id", "raw", "leaf", "shelf").groupBy("shelf").applyInPandas(run, HOME)
+
+
+def elsewhere(home: DataFrame, index: Index, k: int) -> DataFrame:
+    """``(query, id, similarity)``: rows of other shelves that are as similar as a row's k-th best at home, k of a shelf at most."""
+    spark, width = home.sparkSession, index.width
+    asked = home.where(F.size("shelves") > 0)
+    sent = asked.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect()  # bounded by the shelves
+    blocks = spark.createDataFrame([(r.shelf, -(-r["count"] // SHELF_QUERIES)) for r in sent], "shelf int, blocks bigint")
+    routed = asked.select(F.explode("shelves").alias("shelf"), F.col("id").alias("query"), "raw", "least", "bins").join(F.broadcast(blocks), "shelf").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")))
+    rows = home.select("id", "raw", "leaf", "shelf").join(F.broadcast(blocks), "shelf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+
+    def meet(rows_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(rows_) and len(asked_):
+            rows_ = rows_.sort_values(["leaf", "id"], ignore_index=True)
+            raw, ids, leaf = matrix(rows_["raw"], width), rows_["id"].to_numpy(), rows_["leaf"].to_numpy()
+            x, x64 = unit(raw), unit64(raw)
+            here, from_ = np.unique(leaf, return_index=True)
+            to = np.append(from_[1:], len(leaf))
+            for t in range(0, len(asked_), QUERY_BLOCK):
+                some = asked_.iloc[t : t + QUERY_BLOCK]
+                q_raw = matrix(some["raw"], width)
+                q, q64, least, names = unit(q_raw), unit64(q_raw), some["least"].to_numpy(), some["query"].to_numpy()
+                by: dict[int, list[int]] = {}
+                for i, wanted in enumerate(some["bins"]):
+                    for one in wanted:
+                        by.setdefault(int(one), []).append(i)
+                fq, fx = [], []
+                for n, one in enumerate(here):
+                    if who := by.get(int(one)):
+                        w = np.array(who)
+                        i, j = np.nonzero(q[w] @ x[from_[n] : to[n]].T >= least[w, None] - 1e-5)
+                        fq.append(w[i])
+                        fx.append(j + from_[n])
+                if fq:
+                    i, j = np.concatenate(fq), np.concatenate(fx)
+                    found = pd.DataFrame({"query": names[i], "id": ids[j], "similarity": np.einsum("ij,ij->i", q64[i], x64[j])})
+                    found["r"] = found["similarity"].round(RANK)
+                    out.append(found.sort_values(["query", "r", "id"], ascending=[True, False, True]).groupby("query").head(k)[["query", "id", "similarity"]])
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "similarity": []})
+
+    rows = rows.select(*[F.col(c).alias(c) for c in ("shelf", "block", "id", "raw", "leaf")])
+    routed = routed.select(*[F.col(c).alias(c) for c in ("shelf", "block", "query", "raw", "least", "bins")])
+    return rows.groupBy("shelf", "block").cogroup(routed.groupBy("shelf", "block")).applyInPandas(meet, "query string, id string, similarity double")
+
+
+def neighbours_of_different(vectors: DataFrame, width: int, k: int, target: float = TARGET, shelf_rows: int = SHELF_ROWS) -> DataFrame:
+    """``(query, id, similarity)``: the ``k`` most similar rows of every row (id, vector); no two vectors should be equal.
+
+    A row meets its own shelf first. How similar its k-th best is there says
+    how far away a leaf may be that holds a better one: most rows of a dense
+    place look nowhere else, and only those that do are sent on.
+    """
+    tree, rows = fit(vectors, width)
+    base = materialize(placed(vectors, tree, width), "base")
+    bins = divided(base, tree, width, rows, shelf_rows)
+    shelved = binned(base, bins, shelf_rows)
+    visits, excess = calibrate_all(shelved, bins, k, target)
+    home = materialize(at_home(shelved, bins, k, visits, excess), "home")
+    near = home.select(F.col("id").alias("query"), F.explode(F.arrays_zip("near", "closeness")).alias("x")).select("query", F.col("x.near").alias("id"), F.col("x.closeness").alias("similarity"))
+    best = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", RANK)), "id")
+    found = near.unionByName(elsewhere(home, bins.index, k))
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+
+
+def neighbours_of_all(usable: DataFrame, width: int, k: int, target: float = TARGET) -> DataFrame:
+    """``(query, id, similarity, n)``: the ``k`` most similar other rows of every row of ``usable`` (id, vector).
+
+    Equal vectors are searched for once, under their smallest id; of each, only
+    the ``k + 1`` smallest ids can be among the nearest, so that a vector that a
+    third of all rows have makes no pairs. Among equals the smaller id comes
+    first. Fewer than ``k`` other rows give as many as there are.
+    """
+    from vectrine.llm.ballhash import keyed
+
+    records = materialize(keyed(usable, width).select("id", "key"), "keyed")
+    counted = records.groupBy("key").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("copies"))
+    several = materialize(counted.where("copies > 1"), "several")
+    members = materialize(records.join(several, "key"), "members")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    few = members.select("key", "name", "copies", "id").withColumn("place", place).where(F.col("place") <= k + 1)
+    copied = materialize(few.groupBy("key", "name", "copies").agg(F.sort_array(F.collect_list("id")).alias("ids")), "copied")
+    vectors = usable.select("id", "vector").join(members.where("id <> name").select("id"), "id", "left_anti")
+    met = neighbours_of_different(vectors, width, k, target)
+    best = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", RANK)), "id")
+    # the k best of each different vector, with the copies of the others
+    spread = met.join(copied.select(F.col("name").alias("id"), "ids"), "id", "left").select("query", F.explode(F.coalesce("ids", F.array("id"))).alias("id"), "similarity")
+    others = materialize(spread.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k), "others")
+    # a row of several copies has those first, then the others of its vector
+    names = copied.select("key", "name", "ids", F.floor(F.col("copies") / COPIES).alias("most"))
+    lists = others.join(names.select(F.col("name").alias("query")), "query").groupBy(F.col("query").alias("name")).agg(F.sort_array(F.collect_list(F.struct("n", "id", "similarity"))).alias("others"))
+    known = names.join(lists, "name", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most")))).drop("name", "most")
+    rows = members.select("key", F.col("id").alias("query"), F.pmod(F.xxhash64("id"), F.floor(F.col("copies") / COPIES) + 1).alias("salt"))
+    own = F.transform(F.filter("ids", lambda x: x != F.col("query")), lambda x: F.struct(x.alias("id"), F.lit(1.0).alias("similarity")))
+    rest = F.transform(F.coalesce("others", F.array().cast("array<struct<n:int,id:string,similarity:double>>")), lambda x: F.struct(x["id"].alias("id"), x["similarity"].alias("similarity")))
+    told = rows.join(known, ["key", "salt"]).select("query", F.posexplode(F.slice(F.concat(own, rest), 1, k)).alias("at", "x")).select("query", "x.id", "x.similarity", (F.col("at") + 1).alias("n"))
+    single = others.join(names.select(F.col("name").alias("query")), "query", "left_anti")
+    return single.select("query", "id", "similarity", "n").unionByName(told)

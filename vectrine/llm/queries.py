@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vectrine.llm.ballhash import near_groups, near_pairs
 from vectrine.llm.coverage import varied_subset
-from vectrine.llm.knn import nearest, raw_bytes
+from vectrine.llm.knn import nearest, neighbours_of_all, raw_bytes
 from vectrine.llm.leakage import MATCH, SPAN, exact_leaks, leaks
 from vectrine.llm.linkage import described_clusters, linked_clusters
 from vectrine.llm.quality import is_junk, text_quality
@@ -76,9 +76,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of every usable record."""
-    records = usable(spark, sf_dir)
-    asked = records.select(F.col("id").alias("query"), F.col("id").alias("own"), F.lit(10).alias("k"), raw_bytes("vector").alias("raw"))
-    return nearest(records, asked, WIDTH, 10, keep=10).select(F.col("query").alias("id"), F.col("id").alias("near_id"), "n", F.round("similarity", 9).alias("similarity"))
+    found = neighbours_of_all(usable(spark, sf_dir), WIDTH, 10)
+    return found.select(F.col("query").alias("id"), F.col("id").alias("near_id"), "n", F.round("similarity", 9).alias("similarity"))
 
 
 @query
@@ -125,6 +124,8 @@ SELECT min(root) AS cluster_id, id FROM reached GROUP BY id"""
 SQL["p6_found"] = f"""WITH {USABLE} SELECT probe_id, id FROM (
 SELECT probe_id, k, b.id, row_number() OVER (PARTITION BY probe_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS n
 FROM knn_probes p JOIN u a ON a.id = p.id JOIN u b ON b.id <> p.id) WHERE n <= k"""
+SQL["p6_all"] = f"""WITH {USABLE} SELECT id, near_id, n::INT AS n, s AS similarity FROM (
+SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, near_id) AS n FROM (SELECT a.id, b.id AS near_id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.id <> b.id)) WHERE n <= 10"""
 
 SQL["p8_found"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),

@@ -569,13 +569,13 @@ def neighbours_of_all(usable: DataFrame, width: int, k: int, target: float = TAR
     # the k best of each different vector, with the copies of the others
     spread = met.join(copied.select(F.col("name").alias("id"), "ids"), "id", "left").select("query", F.explode(F.coalesce("ids", F.array("id"))).alias("id"), "similarity")
     others = materialize(spread.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k), "others")
-    # a row of several copies has those first, then the others of its vector
+    # a row of several copies has those beside the others of its vector
     names = copied.select("key", "name", "ids", F.floor(F.col("copies") / COPIES).alias("most"))
     lists = others.join(names.select(F.col("name").alias("query")), "query").groupBy(F.col("query").alias("name")).agg(F.sort_array(F.collect_list(F.struct("n", "id", "similarity"))).alias("others"))
     known = names.join(lists, "name", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most")))).drop("name", "most")
     rows = members.select("key", F.col("id").alias("query"), F.pmod(F.xxhash64("id"), F.floor(F.col("copies") / COPIES) + 1).alias("salt"))
-    own = F.transform(F.filter("ids", lambda x: x != F.col("query")), lambda x: F.struct(x.alias("id"), F.lit(1.0).alias("similarity")))
-    rest = F.transform(F.coalesce("others", F.array().cast("array<struct<n:int,id:string,similarity:double>>")), lambda x: F.struct(x["id"].alias("id"), x["similarity"].alias("similarity")))
-    told = rows.join(known, ["key", "salt"]).select("query", F.posexplode(F.slice(F.concat(own, rest), 1, k)).alias("at", "x")).select("query", "x.id", "x.similarity", (F.col("at") + 1).alias("n"))
+    own = F.transform(F.filter("ids", lambda x: x != F.col("query")), lambda x: F.struct(F.lit(-1.0).alias("order"), x.alias("id"), F.lit(1.0).alias("similarity")))
+    rest = F.transform(F.coalesce("others", F.array().cast("array<struct<n:int,id:string,similarity:double>>")), lambda x: F.struct((-F.round(x["similarity"], RANK)).alias("order"), x["id"].alias("id"), x["similarity"].alias("similarity")))
+    told = rows.join(known, ["key", "salt"]).select("query", F.posexplode(F.slice(F.array_sort(F.concat(own, rest)), 1, k)).alias("at", "x")).select("query", "x.id", "x.similarity", (F.col("at") + 1).alias("n"))
     single = others.join(names.select(F.col("name").alias("query")), "query", "left_anti")
     return single.select("query", "id", "similarity", "n").unionByName(told)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.llm.tree import Tree, k_means, unit, unit64
-from vectrine.session import materialize
+from vectrine.session import materialize, release
 
 #: Rows that the tree is fitted on: an eighth of all, but no fewer and no more than these; rows of the calibration set, and its recall.
 LEAST_SAMPLE, MOST_SAMPLE, CALIBRATION, TARGET = 24_000, 100_000, 256, 0.999
@@ -297,8 +297,10 @@ def nearest(usable: DataFrame, queries: DataFrame, width: int, k: int, target: f
 
 #: Copies of a vector that are told apart in a result go by salts of this many rows; rows of a bin of a second level, and bins of all second levels at most.
 COPIES, BIN_ROWS, MOST_BINS = 16_384, 1_024, 65_536
-#: Added to the calibrated angle, in radians; places to which similarities are ranked.
-SLACK, RANK = 0.02, 9
+#: Leaves that are all visited if there are no more, and factor of the calibrated visits of shells.
+ALL_LEAVES, MORE = 64, 1.25
+#: Angle from the direction of its bin beyond which a row lies in its shell, what is added to a calibrated angle, in radians; places to which similarities are ranked.
+CORE, SLACK, RANK = 0.6, 0.02, 9
 
 
 @dataclass
@@ -306,35 +308,46 @@ class Bins:
     """Leaves of a tree, the large ones divided again, with their shelves.
 
     ``start`` is the first bin of each leaf, ``directions`` the mean directions
-    of the bins, ``first`` and ``salts`` their shelves.
+    of the bins. Rows far from theirs lie in the shell of the bin, which is
+    numbered after all bins and has shelves apart: so a bin is known to hold
+    nothing for a row that is far enough away, and the few strays are together.
+    ``held`` says which bins and shells hold rows.
     """
 
     index: Index
     start: np.ndarray
     directions: np.ndarray
+    held: np.ndarray
 
     def place(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Bin of each row: in a divided leaf the nearest."""
-        out = self.start[leaf]
+        """Bin or shell of each row: in a divided leaf the nearest."""
+        out, n = self.start[leaf], len(self.directions)
         for one in np.unique(leaf[(self.start[1:] - self.start[:-1])[leaf] > 1]):
             rows, a, z = np.flatnonzero(leaf == one), self.start[one], self.start[one + 1]
             out[rows] = a + (x[rows] @ self.directions[a:z].T).argmax(1)
-        return out.astype(np.int32)
+        return np.where(np.einsum("ij,ij->i", x, self.directions[out]) < np.cos(CORE), out + n, out).astype(np.int32)
 
-    def near_others(self, x: np.ndarray, widest: np.ndarray, visits: int, shelf: int) -> list[np.ndarray]:
-        """For each row the bins it has to look at: of the first ``visits`` leaves in best-bin-first order those no further away than ``widest``.
+    def near_others(self, x: np.ndarray, reach: np.ndarray, excess: float, visits: tuple[int, int], shelf: int) -> list[np.ndarray]:
+        """For each row the bins and shells it has to look at, of the first ``visits`` leaves, for bins and for shells, in best-bin-first order.
 
-        None for rows that are that near to no bin on another shelf than ``shelf``.
+        ``reach`` is the angle of what it has found so far. A bin no further
+        away than that and ``CORE`` may hold something nearer, no other does; a
+        shell is looked at up to ``excess`` beyond. None for rows that are that
+        near to nothing on another shelf than ``shelf``.
         """
-        least = np.where(widest < 0, 2.0, np.cos(np.clip(widest, 0, np.pi)) - 1e-6).astype(np.float32)
-        other = np.flatnonzero((self.index.first != shelf) | (self.index.salts > 1))
-        out, step = [np.empty(0, np.int64)] * len(x), max(1, 4_000_000 // max(len(self.directions), 1))
+        n = len(self.directions)
+        limit = lambda wide: np.where(wide < 0, 2.0, np.cos(np.clip(wide, 0, np.pi)) - 1e-6).astype(np.float32)
+        core, shell = limit(reach + CORE), limit(reach + excess)
+        other = self.held & ((self.index.first != shelf) | (self.index.salts > 1))
+        out, step = [np.empty(0, np.int64)] * len(x), max(1, 4_000_000 // max(n, 1))
         for a in range(0, len(x), step):
-            s = x[a : a + step] @ self.directions.T >= least[a : a + step, None]
-            some = np.flatnonzero(s[:, other].any(1))
-            for i, leaves in zip(some, self.index.tree.best_bins(x[a + some], visits) if len(some) else ()):
-                bins = np.concatenate([np.arange(self.start[leaf], self.start[leaf + 1]) for leaf in leaves])
-                out[a + i] = bins[s[i, bins]]
+            s = x[a : a + step] @ self.directions.T
+            ok = np.concatenate([s >= core[a : a + step, None], s >= shell[a : a + step, None]], 1) & self.held
+            some = np.flatnonzero(ok[:, other].any(1))
+            for i, leaves in zip(some, self.index.tree.best_bins(x[a + some], max(visits)) if len(some) else ()):
+                bins = [np.arange(self.start[leaf], self.start[leaf + 1]) for leaf in leaves]
+                bins = np.concatenate([*bins[: visits[0]], *[b + n for b in bins[: visits[1]]]])
+                out[a + i] = bins[ok[i, bins]]
         return out
 
     def shelves_of(self, bins: np.ndarray) -> np.ndarray:
@@ -368,37 +381,39 @@ def divided(base: DataFrame, tree: Tree, width: int, rows: int, shelf_rows: int)
     parts = [centres.get(i, own[i : i + 1]) for i in range(tree.leaves)]
     start = np.cumsum([0, *map(len, parts)])
     none = np.zeros(0, np.int64)
-    return Bins(Index(tree, width, rows, none, none), start, np.concatenate(parts))
+    return Bins(Index(tree, width, rows, none, none), start, np.concatenate(parts), none)
 
 
 def binned(base: DataFrame, bins: Bins, shelf_rows: int) -> DataFrame:
     """``(id, raw, leaf, shelf)`` with the bin as ``leaf``; sets the shelves of the bins."""
     spark, width = base.sparkSession, bins.index.width
-    if len(bins.directions) > bins.index.tree.leaves:
-        shared = spark.sparkContext.broadcast(bins)
+    shared = spark.sparkContext.broadcast(bins)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    yield b.assign(leaf=shared.value.place(unit(matrix(b["raw"], width)), b["leaf"].to_numpy()))
-
-        base = materialize(base.mapInPandas(run, BASE), "binned")
-    count = np.zeros(len(bins.directions), np.int64)
-    for leaf, n in base.groupBy("leaf").count().collect():  # bounded by the bins
-        count[leaf] = n
-    bins.index.first, bins.index.salts = shelves_by(count, shelf_rows)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(leaf=shared.value.place(unit(matrix(b["raw"], width)), b["leaf"].to_numpy()))
+
+    base, n = materialize(base.mapInPandas(run, BASE), "binned"), len(bins.directions)
+    count = np.zeros(2 * n, np.int64)
+    for leaf, c in base.groupBy("leaf").count().collect():  # bounded by the bins
+        count[leaf] = c
+    cores, shells = shelves_by(count[:n], shelf_rows), shelves_by(count[n:], shelf_rows)
+    bins.index.first = np.concatenate([cores[0], shells[0] + (cores[0] + cores[1]).max()])
+    bins.index.salts, bins.held = np.concatenate([cores[1], shells[1]]), count > 0
     return on_shelves(base, bins.index)
 
 
-def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: int = CALIBRATION) -> tuple[int, float]:
-    """Leaf visits, and angle beyond that of a row's k-th best on its own shelf, that a calibration set needs for the recall ``target``.
+def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: int = CALIBRATION) -> tuple[tuple[int, int], float]:
+    """Leaf visits, for bins and for shells, that a calibration set needs for the recall ``target``, and how far beyond a row's k-th best on its own shelf the shells are that it needs.
 
     The true neighbours of the set come from brute force over all rows, and so
     do the best ones on its own shelves. The angle is the widest that any of
     the set needs.
     """
+    every = (bins.index.tree.leaves,) * 2
     if bins.index.rows < 2:
-        return 1, 0.0
+        return every, 0.0
     chosen = sample_of(shelved, bins.index.rows, most, seed=1).select("id", "raw", "shelf").toPandas().sort_values("id")
     width = bins.index.width
     x, ids, home = unit(matrix(chosen["raw"], width)), chosen["id"].to_numpy(), chosen["shelf"].to_numpy()
@@ -429,21 +444,26 @@ def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: i
     reach[full] = np.arccos(np.clip(own.loc[full, "min"].to_numpy(), -1, 1))
     true = found[~found["own"]]
     if not len(true):
-        return 1, 0.0
-    leaf_of = np.searchsorted(bins.start, true["leaf"].to_numpy(), side="right") - 1
+        return every, 0.0
+    n = len(bins.directions)
+    leaf_of = np.searchsorted(bins.start, true["leaf"].to_numpy() % n, side="right") - 1
     rank = [{leaf: i + 1 for i, leaf in enumerate(o)} for o in bins.index.tree.best_bins(x, bins.index.tree.leaves)]
-    needed = np.sort([1 if same else rank[q][int(leaf)] for q, leaf, same in zip(true["q"], leaf_of, true["same"])])
-    visits = int(needed[max(0, int(np.ceil(target * len(needed))) - 1)])
-    away = true[~true["same"]]
+    needed = np.array([1 if same else rank[q][int(leaf)] for q, leaf, same in zip(true["q"], leaf_of, true["same"])])
+    shell = true["leaf"].to_numpy() >= n
+    plain = np.sort(np.where(shell, 1, needed))
+    visits = int(plain[max(0, int(np.ceil(target * len(plain))) - 1)]), int(MORE * np.where(shell, needed, 1).max())
+    away = true[~true["same"] & (true["leaf"] >= n)]
     q = away["q"].to_numpy()
-    excess = np.arccos(np.clip(np.einsum("ij,ij->i", x[q], bins.directions[away["leaf"].to_numpy()]), -1, 1)) - reach[q]
+    excess = np.arccos(np.clip(np.einsum("ij,ij->i", x[q], bins.directions[away["leaf"].to_numpy() - n]), -1, 1)) - reach[q]
+    if bins.index.tree.leaves <= ALL_LEAVES:
+        return every, np.pi
     return visits, float(excess.max()) if len(excess) else 0.0
 
 
 HOME = "id string, raw binary, leaf int, shelf int, least float, near array<string>, closeness array<double>, shelves array<int>, bins array<int>"
 
 
-def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: float) -> DataFrame:
+def at_home(shelved: DataFrame, bins: Bins, k: int, visits: tuple[int, int], excess: float) -> DataFrame:
     """Each row with its ``k`` best on its own shelf, and the other shelves and bins it has to look at."""
     shared, width = shelved.sparkSession.sparkContext.broadcast(bins), bins.index.width
 
@@ -464,7 +484,7 @@ def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: float)
             order = np.lexsort((j, -np.round(exact, RANK), i))
             i, j, exact = i[order], j[order], exact[order]
             cut = np.searchsorted(i, np.arange(len(q) + 1))
-            widest = np.full(len(q), np.pi)
+            reach = np.full(len(q), np.pi)
             for row, (c, d) in enumerate(zip(cut, cut[1:])):
                 d = min(d, c + k)
                 full = d - c == k
@@ -472,8 +492,8 @@ def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: float)
                 out["near"].append(ids[j[c:d]])
                 out["closeness"].append(exact[c:d])
                 if full:
-                    widest[row] = np.arccos(np.clip(exact[d - 1], -1, 1)) + excess + SLACK
-            for some in b.near_others(q, widest, visits, shelf):
+                    reach[row] = np.arccos(np.clip(exact[d - 1], -1, 1)) + 1e-3
+            for some in b.near_others(q, reach, excess + SLACK, visits, shelf):
                 there = b.shelves_of(some) if len(some) else some
                 there = there[there != shelf]
                 out["shelves"].append(there.astype(np.int32))
@@ -538,6 +558,7 @@ def neighbours_of_different(vectors: DataFrame, width: int, k: int, target: floa
     base = materialize(placed(vectors, tree, width), "base")
     bins = divided(base, tree, width, rows, shelf_rows)
     shelved = binned(base, bins, shelf_rows)
+    release(base)
     visits, excess = calibrate_all(shelved, bins, k, target)
     home = materialize(at_home(shelved, bins, k, visits, excess), "home")
     near = home.select(F.col("id").alias("query"), F.explode(F.arrays_zip("near", "closeness")).alias("x")).select("query", F.col("x.near").alias("id"), F.col("x.closeness").alias("similarity"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectrine.operators.records import current_rows, is_usable, usable_records
-from vectrine.operators.schema_drift import assign, canonical, column_names, drift_report, edit_script, one_table, parse_object
+from vectrine.operators import schema_drift as drift
+from vectrine.operators.schema_drift import SEP, assign, canonical, column_names, drift_report, edit_script, one_table, parse_object, told
 from vectrine.session import shared_path
 from vectrine.sources import versioned
 from vectrine.sources.sync import handle_runs, run_deltas, seen_by
@@ -182,6 +183,60 @@ def test_edit_script():
     assert {x[:3] for x in script} == {("retype", "metadata.a", "metadata.a"), ("move", "metadata.b", "b"), ("delete", "c", ""), ("add", "d", ""), ("keep", "k", "k")}
 
 
+def script_of(former, later, agreed):
+    return {x[:3] for x in edit_script(former, later, agreed)}
+
+
+def n(*keys):
+    return SEP.join(keys)
+
+
+def test_edit_script_of_nested_trees():
+    former = {"a": "object", n("a", "x"): "number", n("a", "y"): "string", "l": "array", n("l", "[]"): "object", n("l", "[]", "u"): "number"}
+    later = {"b": "object", n("b", "x"): "number", n("b", "z"): "string", "l": "array", n("l", "[]"): "object", n("l", "[]", "v"): "number"}
+    agreed = {("b", "a"), (n("b", "z"), n("a", "y")), (n("l", "[]", "v"), n("l", "[]", "u"))}
+    assert script_of(former, later, agreed) == {
+        ("rename", "b", "a"), ("keep", n("b", "x"), n("a", "x")), ("rename", n("b", "z"), n("a", "y")), ("keep", "l", "l"), ("keep", n("l", "[]"), n("l", "[]")), ("rename", n("l", "[]", "v"), n("l", "[]", "u")),
+    }
+    # out of an object that goes, into one that comes
+    flat, deep = {"price": "number", "k": "string"}, {"p": "object", n("p", "amount"): "number", "k": "string"}
+    pair = (n("p", "amount"), "price")
+    assert script_of(flat, deep, {pair}) == {("keep", "k", "k"), ("move", *pair), ("add", "p", "")}
+    assert script_of(deep, flat, {pair[::-1]}) == {("keep", "k", "k"), ("move", *pair[::-1]), ("delete", "p", "")}
+    assert {x[4:] for x in told(edit_script(deep, flat, {pair[::-1]}), {pair[::-1]}) if x[4]} == {("added", "price"), ("removed", "p")}
+
+
+@pytest.mark.parametrize("former, later", [({"a": "number", "metadata.b": "number"}, {"metadata.c": "number", "d": "number"}), ({"a": "number", "b": "number"}, {"c": "number", "d": "string", "e": "number"})])
+def test_edit_script_is_of_least_cost(former, later):
+    """Against all ways to pair the fields."""
+    from itertools import chain, combinations, permutations
+
+    agreed = {(y, x) for x in former for y in later}
+    best = min(
+        sum(drift.COST["rename" if drift.parent(x) == drift.parent(y) else "move"] + drift.COST["retype"] * (former[x] != later[y]) for x, y in zip(xs, ys)) + (len(former) - k) * drift.COST["delete"] + (len(later) - k) * drift.COST["add"]
+        for k in range(len(former) + 1) for xs in combinations(former, k) for ys in chain(permutations(later, k))
+    )
+    assert sum(c for *_, c in edit_script(former, later, agreed)) == best
+
+
+def test_the_script_decides_the_report(monkeypatch):
+    """A field that agrees with two is told of both, as long as a rename is cheaper than to delete and add."""
+    former, later, agreed = {"a": "number"}, {"b": "number", "c": "number"}, {("b", "a"), ("c", "a")}
+    report = lambda: sorted((x[4], x[5]) for x in told(edit_script(former, later, agreed), agreed) if x[4])
+    assert report() == [("renamed", "b"), ("renamed", "c")]
+    monkeypatch.setitem(drift.COST, "rename", 50.0)
+    assert report() == [("added", "b"), ("added", "c"), ("removed", "a")]
+
+
+def test_nested_values():
+    found = {f: (t, v) for f, t, v in drift.nested("m", {"a": {"b": 1, "c": None}, "l": [{"u": 1}, {"u": "x"}, 3, None]})}
+    assert found[n("m", "a", "b")] == ("number", 1) and n("m", "a", "c") not in found and found[n("m", "l", "[]", "u")] == ("number", [1, "x"]) and found[n("m", "l", "[]")][0] == "object"
+    deep = {}
+    for _ in range(100):
+        deep = {"k": deep}
+    assert max(f.count(SEP) for f, _, _ in drift.nested("m", deep)) == drift.DEEPEST
+
+
 def drift_tables(spark, files, rows, payloads=()):
     f = spark.createDataFrame([(n, s, q, k, "x") for n, s, q, k in files], "file_no bigint, stream string, seq_no int, kind string, extra string")
     v = spark.createDataFrame([(n, i, json.dumps(m) if isinstance(m, dict) else m, 1) for n, i, m in rows], "file_no bigint, id string, metadata string, kind int")
@@ -219,5 +274,12 @@ def test_one_table_follows_renames(spark):
     assert sorted((r.file_no, r.metadata_x, r.metadata_z) for r in found.collect()) == [(1, "1", None), (2, "1", "[2]")]
 
 
+def test_one_table_follows_nested_nodes(spark):
+    v, p, f = drift_tables(spark, [(1, "s", 1, "rows"), (2, "s", 2, "rows"), (3, "s", 3, "rows")], [(1, "a", {"p": {"amount": 5, "unit": "kg"}}), (2, "a", {"price": 5, "q": {"unit": "kg"}, "l": [{"x": 1}]}), (3, "a", {"cost": 5, "q": {"unit": "kg", "new": {}}})])
+    found = one_table(v, p, f)
+    assert {r.file_no: r[3:-1] for r in found.collect()} == {1: (None, "5", "kg", None), 2: ('[{"x": 1}]', "5", "kg", None), 3: (None, "5", "kg", "{}")}
+    assert found.columns[3:] == ["metadata_l", "metadata_p_amount", "metadata_p_unit", "metadata_q_new", "other"]
+
+
 def test_column_names():
     assert column_names(["a.b", "A_b", "id"]) == ["a_b", "A_b_", "id_"]

@@ -1,18 +1,25 @@
 """Schemas that drift between the files of a stream: changes, edit scripts, one table.
 
-1. Every record is parsed once into ``(file, id, field, type, value hash)``.
-2. Counts per file, field and type give the schema of each file.
-3. Neighbouring files of a stream are compared. Fields that only one of them
+1. Every record is parsed once into ``(file, id, field, type, value hash)``,
+   a row for each node of its tree: fields, and what objects and arrays hold.
+2. Counts per file, node and type give the schema tree of each file.
+3. Neighbouring files of a stream are compared. Nodes that only one of them
    has are paired if their values agree for every common id.
 4. A minimum-cost edit script between the two schema trees (keep, retype,
-   rename, move, add, delete) is made for each pair of files.
-5. The scripts compose to one name for each field over a whole stream, and
+   rename, move, add, delete) is made for each pair of files. The report tells
+   what the script does to the fields.
+5. The scripts compose to one name for each node over a whole stream, and
    compile into a projection that all files share.
+
+A node is named by its field, ``metadata.<key>`` or ``<key>``, and for a nested
+one by the keys below it, after a ``SEP`` each; the elements of an array are
+its node ``[]``.
 """
 
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,8 +30,10 @@ from vectrine.session import materialize
 
 #: Costs of the edit operations. A rename or a move needs equal values, so it is always cheaper than delete and add.
 COST = {"keep": 0.0, "retype": 0.5, "rename": 0.25, "move": 0.75, "add": 1.0, "delete": 1.0}
-#: Share of a file's records that must hold a field.
+#: Share of a file's records that must hold a node.
 LEAST_SHARE = 0.25
+#: Between the keys of nested nodes; levels below a field that are looked into.
+SEP, DEEPEST = "\x1f", 32
 
 
 def _no_constant(text: str) -> None:
@@ -86,6 +95,34 @@ def fields_of(kind: str, record: dict) -> dict[str, object]:
     return found
 
 
+def nested(field: str, value: object) -> Iterator[tuple[str, str, object]]:
+    """``(node, type, value)`` of a field and of all that it holds, one row for a node.
+
+    Below arrays a node has several values: their list stands for them, and the
+    commonest type, of equally common ones the first by name.
+    """
+    yield field, json_type(value), value
+    many: dict[str, list] = {}
+    todo = deque([(field, value, 0, False)])
+    while todo:
+        path, v, depth, several = todo.popleft()
+        if depth == DEEPEST or not isinstance(v, (dict, list)):
+            continue
+        inside = v.items() if isinstance(v, dict) else [("[]", x) for x in v]
+        for k, x in inside:
+            if x is None:
+                continue
+            name, below = f"{path}{SEP}{k}", several or isinstance(v, list)
+            if below:
+                many.setdefault(name, []).append(x)
+            else:
+                yield name, json_type(x), x
+            todo.append((name, x, depth + 1, below))
+    for name, values in many.items():
+        kinds = [json_type(x) for x in values]
+        yield name, min(set(kinds), key=lambda t: (-kinds.count(t), t)), values
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out: list[tuple] = []
@@ -97,12 +134,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own = record.get("id")
                 name = None if own is None else canonical(own)
             out.append((file_no, name, None, None, None))  # the record itself
-            out.extend((file_no, name, f, json_type(v), canonical(v)) for f, v in fields_of(kind, record).items())
+            out.extend((file_no, name, f, t, canonical(x)) for field, v in fields_of(kind, record).items() for f, t, x in nested(field, v))
         yield pd.DataFrame(out, columns=["file_no", "id", "field", "type", "value"])
 
 
 def parsed_fields(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> DataFrame:
-    """``(file_no, id, field, type, value)``: a row for each field of each record, and one with a null field for each record.
+    """``(file_no, id, field, type, value)``: a row for each node of each record, and one with a null field for each record.
 
     ``id`` and ``value`` are 64-bit hashes; ids of 'rows' and of 'json' files
     are never compared with one another. Text that is no JSON object gives no
@@ -205,35 +242,119 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def _leaf(path: str) -> tuple[str, str]:
-    parent, _, name = path.rpartition(".") if path.startswith("metadata.") else ("", "", path)
-    return parent, name
+def parent(node: str) -> str:
+    """The node that holds a node: an object, an array, the container ``metadata`` or the root, ''."""
+    if SEP in node:
+        return node.rpartition(SEP)[0]
+    return "metadata" if node.startswith("metadata.") else ""
 
 
-def edit_script(former: dict[str, str], later: dict[str, str], agreed: set[tuple[str, str]]) -> list[tuple[str, str, str, float]]:
-    """Minimum-cost script ``(operation, field, former_field, cost)`` between two schema trees.
+def _below(top: str, node: str) -> bool:
+    return node.startswith(top + SEP)
+
+
+def _size(top: str, tree: dict[str, str]) -> int:
+    """Nodes of a subtree."""
+    return 1 + sum(_below(top, n) for n in tree)
+
 
-    The trees are unordered: a root, the container ``metadata`` and their
-    fields. Nodes of equal path are kept or retyped. The rest is matched at
-    minimum cost, where a pair of ``agreed`` may be renamed (same container) or
-    moved (another container), and any node may be deleted or added instead.
+def edit_script(former: dict[str, str], later: dict[str, str], agreed: set[tuple[str, str]]) -> list[tuple[str, str, str, float]]:
+    """Script ``(operation, node, former_node, cost)`` of least cost between two schema trees ``{node: type}``.
+
+    The trees are unordered and matched from the top: below matched nodes, those
+    of equal name are kept or retyped. All others, of all matched nodes, are
+    assigned at least total cost: a pair of ``agreed`` (later, former) may be
+    renamed (below the same node) or moved, which costs that, a retype if the
+    types differ, and the script between what they hold; or the one is
+    deleted and the other added, with all that they hold. What then hangs below
+    a deleted or an added node is assigned in the same way, so that it may have
+    moved out of or into it.
     """
-    script = [("keep" if former[f] == later[f] else "retype", f, f) for f in sorted(former.keys() & later.keys())]
-    gone, new = sorted(former.keys() - later.keys()), sorted(later.keys() - former.keys())
-    far = 1e6
-    cost = []
-    for i, x in enumerate(gone):
-        pairs = [(COST["rename"] if _leaf(x)[0] == _leaf(y)[0] else COST["move"]) + COST["retype"] * (former[x] != later[y]) - COST["add"] if (y, x) in agreed else far for y in new]
-        cost.append(pairs + [COST["delete"] if k == i else far for k in range(len(gone))])
-    taken = set()
-    for x, j in zip(gone, assign(cost)):
-        if j < len(new) and (new[j], x) in agreed:
-            taken.add(new[j])
-            script.append(("rename" if _leaf(x)[0] == _leaf(new[j])[0] else "move", new[j], x))
-        else:
-            script.append(("delete", x, ""))
-    script += [("add", y, "") for y in new if y not in taken]
-    return [(op, a, b, COST[op]) for op, a, b in script]
+    script: list[tuple[str, str, str, float]] = []
+    held: dict[tuple[str, str], list] = {}
+
+    def inner(x: str, y: str) -> list[tuple[str, str, str, float]]:
+        """Script between what x and y hold."""
+        if (x, y) not in held:
+            sub = lambda top, tree: {n[len(top) + 1 :]: t for n, t in tree.items() if _below(top, n)}
+            a, b = sub(x, former), sub(y, later)
+            pairs = {(m[len(y) + 1 :], n[len(x) + 1 :]) for m, n in agreed if _below(y, m) and _below(x, n)}
+            ops = edit_script(a, b, pairs) if a or b else []
+            gone = lambda op: op == "delete"
+            held[x, y] = [(op, f"{x if gone(op) else y}{SEP}{m}", f"{x}{SEP}{n}" if n else "", c) for op, m, n, c in ops]
+        return held[x, y]
+
+    # nodes of equal name below matched ones
+    matched, gone, new = {"": "", "metadata": "metadata"}, [], []
+    for n in sorted(former.keys() & later.keys(), key=lambda n: (n.count(SEP), n)):
+        if parent(n) in matched or parent(n) not in former:
+            matched[n] = n
+            op = "keep" if former[n] == later[n] else "retype"
+            script.append((op, n, n, COST[op]))
+    gone = [n for n in sorted(former) if n not in matched and (parent(n) in matched or parent(n) not in former)]
+    new = [n for n in sorted(later) if n not in matched and (parent(n) in matched or parent(n) not in later)]
+    taken_x: set[str] = set()
+    taken_y: set[str] = set()
+    seen, far = {*gone, *new}, 1e6
+    while gone and new:
+        cost = []
+        for i, x in enumerate(gone):
+            row = []
+            for y in new:
+                if (y, x) in agreed:
+                    pair = COST["rename" if parent(x) == parent(y) else "move"] + COST["retype"] * (former[x] != later[y]) + sum(c for *_, c in inner(x, y))
+                    row.append(pair - COST["add"] * _size(y, later))
+                else:
+                    row.append(far)
+            cost.append(row + [COST["delete"] * _size(x, former) if k == i else far for k in range(len(gone))])
+        for x, j in zip(list(gone), assign(cost)):
+            if j < len(new) and (new[j], x) in agreed:
+                op = "rename" if parent(x) == parent(new[j]) else "move"
+                script.append((op, new[j], x, COST[op] + COST["retype"] * (former[x] != later[new[j]])))
+                script += inner(x, new[j])
+                taken_x.add(x)
+                taken_y.add(new[j])
+        left_x, left_y = [x for x in gone if x not in taken_x], [y for y in new if y not in taken_y]
+        down_x = [n for n in sorted(former) if parent(n) in left_x and n not in seen]
+        down_y = [n for n in sorted(later) if parent(n) in left_y and n not in seen]
+        if not down_x and not down_y:
+            break
+        seen.update(down_x, down_y)
+        gone, new = left_x + down_x, left_y + down_y
+    inside = lambda n, tops: n in tops or any(_below(t, n) for t in tops)
+    script += [("delete", n, "", COST["delete"]) for n in sorted(former) if n not in matched and not inside(n, taken_x)]
+    script += [("add", n, "", COST["add"]) for n in sorted(later) if n not in matched and not inside(n, taken_y)]
+    return script
+
+
+def told(script: list[tuple[str, str, str, float]], agreed: set[tuple[str, str]]) -> list[tuple]:
+    """``(operation, field, former_field, cost, change, about)``: the script, and what the report says of each step.
+
+    The report is about fields, not about what they hold. A field that moved
+    out of or into another is added or removed in it. A field whose values
+    agree with more than one is renamed once in a script; for the report, which
+    tells each such pair, it has a step 'alias' of no cost for every other one.
+    """
+    is_field = lambda n: SEP not in n
+    named = {(y, x) for op, y, x, _ in script if op in ("rename", "move") and is_field(y) and is_field(x)}
+    ys, xs = {y for y, _ in named}, {x for _, x in named}
+    alias = sorted((y, x) for y, x in agreed - named if is_field(y) and is_field(x) and (y in ys or x in xs))
+    ys, xs = ys | {y for y, _ in alias}, xs | {x for _, x in alias}
+    out = []
+    for op, y, x, c in script:
+        change, about = "", y
+        if (y, x) in named:
+            change = "renamed"
+        elif op == "retype" and is_field(y) and y == x:
+            change = "retyped"
+        elif op == "delete" and is_field(y) and y not in xs:
+            change = "removed"
+        elif op in ("add", "move", "rename") and is_field(y) and y not in ys:
+            change = "added"
+        elif op in ("move", "rename") and is_field(x) and x not in xs:
+            change, about = "removed", x
+        out.append((op, y, x, c, change, about))
+    return out + [("alias", y, x, 0.0, "renamed", y) for y, x in alias]
 
 
 def _scripts(group: pd.DataFrame) -> pd.DataFrame:
@@ -242,36 +363,23 @@ def _scripts(group: pd.DataFrame) -> pd.DataFrame:
     former = {f: t for f, t in zip(plain["former_field"], plain["former_type"]) if f is not None}
     proof = group[group["evidence"]]
     agreed = set(zip(proof["field"], proof["former_field"]))
-    out = [(op, a, b, c) for op, a, b, c in edit_script(former, later, agreed)]
-    # what the report adds to the script: each further pair of fields that agree
-    named = {(a, b) for op, a, b, _ in out if op in ("rename", "move")}
-    rest = sorted(agreed - named)
-    paired = {a for a, _ in agreed} | {b for _, b in agreed}
-    rows = [(op, a, b, c, op not in ("add", "delete") or a not in paired) for op, a, b, c in out]
-    rows += [("alias", a, b, 0.0, True) for a, b in rest]
-    made = pd.DataFrame(rows, columns=["operation", "field", "former_field", "cost", "reported"])
+    made = pd.DataFrame(told(edit_script(former, later, agreed), agreed), columns=["operation", "field", "former_field", "cost", "change", "about"])
     made.insert(0, "file_no", group["file_no"].iloc[0])
     return made
 
 
 def edit_scripts(compared: DataFrame) -> DataFrame:
-    """``(file_no, operation, field, former_field, cost, reported)``: the script from its former file to each file.
+    """``(file_no, operation, field, former_field, cost, change, about)``: the script from its former file to each file.
 
-    A group holds the fields of two files, never their records.
+    A group holds the nodes of two schemas, never their records.
     """
-    return compared.groupBy("file_no").applyInPandas(_scripts, "file_no bigint, operation string, field string, former_field string, cost double, reported boolean")
-
-
-#: Operation of a script and the change that it is reported as.
-CHANGES = {"rename": "renamed", "move": "renamed", "alias": "renamed", "add": "added", "delete": "removed", "retype": "retyped"}
+    return compared.groupBy("file_no").applyInPandas(_scripts, "file_no bigint, operation string, field string, former_field string, cost double, change string, about string")
 
 
 def changes(scripts: DataFrame) -> DataFrame:
     """``(file_no, change, field, former_field)``: the report of all changes."""
-    what = F.create_map(*[F.lit(x) for pair in CHANGES.items() for x in pair])
-    told = scripts.where(F.col("reported") & (F.col("operation") != "keep"))
-    former = F.when(F.col("operation") == "retype", "").otherwise(F.col("former_field"))
-    return told.select("file_no", what[F.col("operation")].alias("change"), "field", former.alias("former_field"))
+    former = F.when(F.col("change") == "renamed", F.col("former_field")).otherwise("")
+    return scripts.where("change <> ''").select("file_no", "change", F.col("about").alias("field"), former.alias("former_field"))
 
 
 def drift_report(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> DataFrame:
@@ -288,14 +396,12 @@ def drift_report(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> Data
 
 
 def _lineage(group: pd.DataFrame) -> pd.DataFrame:
-    """One name for each field over all files of a stream: the name under which it was seen first."""
+    """One name for each node over all files of a stream: the name under which it was seen first."""
     out, names = [], {}
     for file_no, part in sorted(group.groupby("seq_no"), key=lambda x: x[0]):
         now = {}
         for op, field, former in zip(part["operation"], part["field"], part["former_field"]):
-            if op in ("keep", "retype"):
-                now[field] = names.get(field, field)
-            elif op in ("rename", "move"):
+            if op in ("keep", "retype", "rename", "move"):
                 now[field] = names.get(former, former)
         taken = set(now.values())
         for op, field in zip(part["operation"], part["field"]):
@@ -323,6 +429,17 @@ def lineage(scripts: DataFrame, schemas: DataFrame, files: DataFrame) -> DataFra
     return both.groupBy("stream").applyInPandas(_lineage, "file_no bigint, field string, column string")
 
 
+def leaves(field: str, value: object) -> Iterator[tuple[str, object]]:
+    """A field, or where it is an object what that holds: all but objects, and empty ones."""
+    todo = [(field, value, 0)]
+    while todo:
+        path, v, depth = todo.pop()
+        if isinstance(v, dict) and v and depth < DEEPEST:
+            todo += [(f"{path}{SEP}{k}", x, depth + 1) for k, x in v.items() if x is not None]
+        else:
+            yield path, v
+
+
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -332,7 +449,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if kind == "json" and record.get("id") is not None:
                 name = record["id"] if isinstance(record["id"], str) else canonical(record["id"])
-            found = {f: v if isinstance(v, str) else canonical(v) for f, v in fields_of(kind, record).items()}
+            found = {f: v if isinstance(v, str) else canonical(v) for field, x in fields_of(kind, record).items() for f, v in leaves(field, x)}
             out.append((file_no, kind, name, found))
         yield pd.DataFrame(out, columns=["file_no", "kind", "id", "fields"])
 
@@ -341,7 +458,7 @@ def column_names(columns: list[str]) -> list[str]:
     """Names for columns that differ whatever their case, and from the fixed ones."""
     out: list[str] = []
     for c in columns:
-        name = c.replace(".", "_")
+        name = c.replace(".", "_").replace(SEP, "_")
         while name.lower() in {x.lower() for x in out} | {"file_no", "kind", "id", "other"}:
             name += "_"
         out.append(name)
@@ -349,18 +466,21 @@ def column_names(columns: list[str]) -> list[str]:
 
 
 def one_table(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> DataFrame:
-    """Every record of every file as ``(file_no, kind, id, <one text column for each consistent field>)``.
+    """Every record of every file as ``(file_no, kind, id, <one text column for each consistent node>)``.
 
     The scripts compile into one projection: each column reads, in each file,
-    the field that carries it there; null where the file has none. Records whose
-    field is too rare in its file to be part of the schema keep it in
-    ``other``, a map. Values are JSON texts, strings without their quotes.
+    the node that carries it there; null where the file has none. Objects are
+    told by what they hold, arrays as a whole. Records whose node is too rare
+    in its file to be part of the schema keep it in ``other``, a map. Values
+    are JSON texts, strings without their quotes.
     """
     parsed = materialize(parsed_fields(rows, payloads, files), "fields")
     schemas = file_schemas(parsed)
     names = materialize(lineage(edit_scripts(compare(parsed, files)), schemas, files), "lineage")
-    columns = sorted(r[0] for r in names.select("column").distinct().collect())  # bounded by the width of the schema
-    maps = names.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("column", "field"))).alias("names"))
+    objects = schemas.groupBy("field").agg(F.min(F.col("type") == "object").alias("never")).where("never").select("field")  # these have no text
+    inside = names.where(~F.col("field").contains(SEP + "[]")).join(objects, "field", "left_anti")
+    columns = sorted(r[0] for r in inside.select("column").distinct().collect())  # bounded by the width of the schema
+    maps = inside.groupBy("file_no").agg(F.map_from_entries(F.collect_list(F.struct("column", "field"))).alias("names"))
     a = rows.select("file_no", F.lit("rows").alias("kind"), F.col("id").cast("string").alias("id"), F.col("metadata").alias("body"))
     b = payloads.select("file_no", F.lit("json").alias("kind"), F.lit(None).cast("string").alias("id"), F.col("payload").alias("body"))
     told = a.unionByName(b).join(files.select("file_no", "kind"), ["file_no", "kind"], "left_semi")

@@ -1,14 +1,16 @@
 """The database facade, validation, compression, streams, the journal and errors."""
 
 import json
+from dataclasses import asdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vectrine import errors
 from vectrine.database import Database
 from vectrine.observe import Journal
-from vectrine.operators import aggregates, validate
+from vectrine.operators import aggregates, ann, monitor, validate
 from vectrine.operators.compress import compress, restored, scalar
 from vectrine.operators.namespaces import NamespaceError
 from vectrine.session import shared_path
@@ -43,6 +45,55 @@ def test_database(spark):
         db.get("first-one")
 
 
+def test_searches_through_the_index(spark):
+    rng = np.random.default_rng(2)
+    c = Database(spark, shared_path(spark, "db")).create("name", 8, "euclidean")
+    rows = spark.createDataFrame([(f"v{i}", v.tolist(), '{"k": 1}') for i, v in enumerate(rng.standard_normal((120, 8)))], "id string, vector array<double>, metadata string")
+    c.put(rows, 5)
+    query = [0.1] * 8
+    exact = [r.id for r in c.search(query, 5).collect()]
+    assert c.index_health() == "missing" and c.list_indexes() == []
+    asked = spark.createDataFrame([(1, query)], "qid int, qvec array<double>")
+    with pytest.raises(errors.IndexFailed):
+        c.rebuild_index(queries=asked, least=1.1)
+    assert c.rebuild_index(ann.Parameters("euclidean", shard_rows=40), asked, 0.9) >= 0.9
+    c.set_indexing(True)
+    assert c.index_health() == "healthy" and c.list_indexes() == ["graph"]
+    found = c.search(query, 5, include=("metadata",))
+    assert [r.id for r in found.collect()] == exact and "metadata" in found.columns
+    assert c.delete(spark.createDataFrame([(exact[0],), ("none",)], "id string")) == 1
+    assert c.index_health() == "healthy" and exact[0] not in [r.id for r in c.search(query, 5).collect()]
+    assert ann.load(spark, c._index())[0].agg(F.sum("nodes")).first()[0] == 119
+    c.put(rows.limit(1), 6)
+    assert c.index_health() == "stale" and len(c.search(query, 5).collect()) == 5
+    c.delete_index()
+    assert c.index_health() == "missing"
+    assert {e["kind"] for e in c.journal.entries} == {"write", "search", "index"} and c.journal.select("search", "knn")[0]["ok"]
+
+
+def test_quota_is_checked_before_a_write(spark):
+    c = Database(spark, shared_path(spark, "db"), quota=10**6).create("name", 4)
+    rows = lambda names: spark.createDataFrame([(n, [1.0] * 4) for n in names], "id string, vector array<float>")
+    c.put(rows("abcdefghij"), 5)
+    c.quota = int(c.used() * 1.02)
+    c.put(rows("k"), 6)  # at 98 %: a fifth is evicted first
+    assert c.table.count() == 9 and c.journal.select("quota")[0]["about"] == '{"records": 2}'
+    c.quota = 1
+    with pytest.raises(monitor.QuotaError):
+        c.put(rows("l"), 7)
+
+
+def test_cache_of_indexes_saves_what_changed(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "id bigint, vector array<double>")
+    p, paths = ann.Parameters(), [shared_path(spark, "i") for _ in range(2)]
+    cache = ann.IndexCache(spark, 1)
+    about = {"rows": 10, "at": None, **asdict(p)}
+    for path in paths:
+        cache.put(path, ann.build(df, p), about)
+    assert ann.load(spark, paths[0])[1]["rows"] == 10 and ann.load(spark, paths[1]) is None  # the first had to leave
+    assert cache.flush() == 1 and cache.flush() == 0 and ann.load(spark, paths[1])[1]["rows"] == 10
+
+
 def test_limits():
     for bad in ("", "1a", "a b", "x" * 65, None):
         with pytest.raises(errors.InvalidInput):
@@ -100,6 +151,7 @@ def test_journal(spark):
     assert [e["ok"] for e in j.select("search")] == [True, False] and len(heard) == 2 and '"***"' in heard[0]["about"]
     assert aggregates.profile(j.table(spark), "ms", ("name",)).first().n == 2
     assert len(json.loads(j.export())) == 2 and j.export("csv").count("\n") == 3
+    assert len(json.loads(j.export("trace"))["traceEvents"]) == 2 and j.export("html").count("<tr>") == 3
 
 
 def test_errors():

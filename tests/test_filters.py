@@ -96,7 +96,15 @@ def test_missing_and_broken_metadata(spark):
     assert sorted(r.i for r in df.where(compile_filter({"a": {"$ne": 1}})).collect()) == [0, 1, 2]
 
 
-def test_dangerous_patterns():
+def test_keys_with_quotes_and_java_patterns(spark):
+    df = spark.createDataFrame([(0, json.dumps({"it's": 1, 'say "x"': 2, "both '\"": 3, "": 4, "a.b": 5, "y": "in 1999"})), (1, "{}")], "i int, metadata string")
+    for key, value in (("it's", 1), ('say "x"', 2), ("both '\"", 3), ("", 4), ("a.b", 5)):
+        assert [r.i for r in df.where(compile_filter({key: {"$eq": value}})).collect()] == [0]
+    assert [r.i for r in df.where(compile_filter({"y": {"$regex": r"(?<year>\d{4})"}})).collect()] == [0]
+    assert df.where(compile_filter({"y": {"$regex": "(unclosed"}})).isEmpty()
+
+
+def test_dangerous_patterns(spark):
     assert is_dangerous("(.*)+") and is_dangerous("(a|b)*") and is_dangerous("a+" * 7) and not is_dangerous("^ab.*c$")
     with pytest.raises(FilterError):
         FilterBuilder().regex("a", "(.+)+")

@@ -284,6 +284,13 @@ def test_selections(spark):
 # storage
 
 
+def test_percentiles_leave_out_elements_that_are_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([([float(i), 1e308 * (-1) ** i, inf, -inf, nan],) for i in range(12_000)], "vector array<double>")
+    low, high = Z.percentile_bounds(df, share=(0.3, 0.7)).first()
+    assert (low, high) == (sorted([float(i) for i in range(12_000)] + [1e308, -1e308] * 6000)[7200], sorted([float(i) for i in range(12_000)] + [1e308, -1e308] * 6000)[16_800])
+
+
 def test_vector_table(spark):
     t = VectorTable(spark, shared_path(spark, "v"), 2)
     assert t.count() == 0 and t.get("a") is None and t.delete(spark.createDataFrame([("a",)], "id string")) == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import html
 import io
 import json
 import logging
@@ -60,4 +61,11 @@ class Journal:
             w.writeheader()
             w.writerows(self.entries)
             return out.getvalue()
+        if form == "trace":  # read by the tracing pages of browsers
+            events = [{"name": f"{e['kind']}: {e['name']}", "ph": "X", "ts": (e["at"] * 1000 - e["ms"]) * 1000, "dur": e["ms"] * 1000, "pid": 0, "tid": 0, "args": {"ok": e["ok"], "about": e["about"]}} for e in self.entries]
+            return json.dumps({"traceEvents": events})
+        if form == "html":
+            names = ["at", "kind", "name", "ms", "ok", "about"]
+            rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(e[n]))}</td>" for n in names) + "</tr>" for e in self.entries)
+            return f"<table><tr>{''.join(f'<th>{n}</th>' for n in names)}</tr>{rows}</table>"
         raise ValueError(f"unknown form {form!r}")

@@ -3,8 +3,8 @@
 Rows are spread over shards of bounded size by a hash of their id; each shard's
 graph is built and searched on its own, and the shards' results are merged. A
 search therefore differs from that of one large graph; what is promised is its
-recall. The index is immutable: a delete or a new metric means a rebuild, and a
-search without a matching index is exact.
+recall. A delete rebuilds the shards that hold the ids, a new metric all of
+them, and a search without a matching index is exact.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from vectrine.functions.metrics import score
 from vectrine.operators.search import RANK, batch_search
+from vectrine.session import drop, materialize
 
 VERSION = "1.0.0"
 METRICS = ("cosine", "euclidean", "manhattan", "dot")
+SHARD = "shard int, nodes bigint, top int, links bigint, graph string, vectors binary"
 
 
 @dataclass(frozen=True)
@@ -138,13 +140,34 @@ def build(df: DataFrame, p: Parameters = Parameters(), key: str = "id", vector:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
-        g = Graph(group["id"].to_list(), np.stack(group["v"].to_list()).astype(np.float64), p)
-        links = sum(len(n) for node in g.links for n in node)
-        graph, vectors = g.dump()
-        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "nodes": [len(g.ids)], "top": [int(g.level.max())], "links": [links], "graph": [graph], "vectors": [vectors]})
+        return _shard(Graph(group["id"].to_list(), np.stack(group["v"].to_list()).astype(np.float64), p), int(group["shard"].iloc[0]))
 
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInPandas(run, "shard int, nodes bigint, top int, links bigint, graph string, vectors binary")
+    return placed.groupBy("shard").applyInPandas(run, SHARD)
+
+
+def _shard(g: Graph, shard: int) -> pd.DataFrame:
+    links = sum(len(n) for node in g.links for n in node)
+    graph, vectors = g.dump()
+    return pd.DataFrame({"shard": [shard], "nodes": [len(g.ids)], "top": [int(g.level.max()) if len(g.ids) else 0], "links": [links], "graph": [graph], "vectors": [vectors]})
+
+
+def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the ``ids`` (a column ``id``): only shards that hold one of them are built anew, from their own vectors."""
+    shards = index.count()
+    gone = ids.where(F.col("id").isNotNull()).select("id").distinct().withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    hit = index.join(gone.select("shard").distinct(), "shard", "left_semi")
+
+    def run(parts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for shard, graph, vectors in zip(parts["shard"], parts["graph"], parts["vectors"]):
+            g, lost = Graph.restore(graph, bytes(vectors)), set(names["id"].tolist())
+            keep = [i for i, name in enumerate(g.ids) if name not in lost]
+            out.append(_shard(g if len(keep) == len(g.ids) else Graph([g.ids[i] for i in keep], g.x[keep], g.p), int(shard)))
+        return pd.concat(out) if out else pd.DataFrame(columns=parts.columns)
+
+    again = hit.groupBy("shard").cogroup(gone.groupBy("shard")).applyInPandas(run, SHARD)
+    return index.join(gone.select("shard").distinct(), "shard", "left_anti").select(*[c.split()[0] for c in SHARD.split(", ")]).unionByName(again)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, p: Parameters = Parameters(), breadth: int | None = None, id_type: str = "bigint") -> DataFrame:
@@ -174,10 +197,10 @@ def statistics(index: DataFrame) -> DataFrame:
     return index.agg(F.sum("nodes").alias("nodes"), F.max("top").alias("top"), (F.sum("links") / F.sum("nodes")).alias("mean_links"))
 
 
-def save(index: DataFrame, path: str, p: Parameters, rows: int) -> None:
-    """Writes the shards, and beside them what a reader has to know."""
+def save(index: DataFrame, path: str, p: Parameters, rows: int, at: int | None = None) -> None:
+    """Writes the shards, and beside them what a reader has to know; ``at`` is the version of the collection that they are made of."""
     index.write.mode("overwrite").parquet(f"{path}/shards")
-    about = json.dumps({"version": VERSION, "rows": rows, **asdict(p)})
+    about = json.dumps({"version": VERSION, "rows": rows, "at": at, **asdict(p)})
     index.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
@@ -190,13 +213,27 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:
         return None
 
 
-def health(about: dict | None, rows: int, metric: str, dirty: bool = False) -> str:
-    """missing, incompatible, stale, dirty or healthy."""
+def saved(spark: SparkSession, root: str) -> list[str]:
+    """Names of the indexes below a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath().getName()) for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a saved index; no error if there is none."""
+    drop(spark, path)
+
+
+def health(about: dict | None, rows: int, metric: str, dirty: bool = False, at: int | None = None) -> str:
+    """missing, incompatible, stale (made of other rows, or of another version ``at`` of the collection), dirty or healthy."""
     if about is None:
         return "missing"
     if about.get("version") != VERSION or about.get("metric") != metric:
         return "incompatible"
-    return "stale" if about.get("rows") != rows else "dirty" if dirty else "healthy"
+    if about.get("rows") != rows or (at is not None and about.get("at") != at):
+        return "stale"
+    return "dirty" if dirty else "healthy"
 
 
 def indexed_search(df: DataFrame, path: str, queries: DataFrame, k: int, metric: str = "cosine", key: str = "id", vector: str = "vector") -> DataFrame:
@@ -209,10 +246,35 @@ def indexed_search(df: DataFrame, path: str, queries: DataFrame, k: int, metric:
 
 
 class IndexCache:
-    """Keeps the latest used indexes in memory; the oldest leaves first."""
+    """Keeps the latest used indexes in memory; the oldest leaves first. Changed ones are saved when they leave, and by ``flush``."""
 
     def __init__(self, spark: SparkSession, most: int = 5):
-        self.spark, self.most, self.held = spark, most, {}
+        self.spark, self.most, self.held, self.changed = spark, most, {}, set()
+
+    def put(self, path: str, index: DataFrame, about: dict) -> None:
+        """A changed index, saved later."""
+        self.held.pop(path, None)
+        self.held[path] = materialize(index, "index"), about
+        self.changed.add(path)
+        self._shrink()
+
+    def flush(self) -> int:
+        """Saves all changed indexes and returns their number."""
+        todo = sorted(self.changed & self.held.keys())
+        for path in todo:
+            self._save(path, *self.held[path])
+        return len(todo)
+
+    def _save(self, path: str, index: DataFrame, about: dict) -> None:
+        save(index, path, Parameters(**{f: about[f] for f in Parameters.__dataclass_fields__}), about["rows"], about.get("at"))
+        self.changed.discard(path)
+
+    def _shrink(self) -> None:
+        while len(self.held) > self.most:
+            path, (index, about) = next(iter(self.held.items()))
+            if path in self.changed:
+                self._save(path, index, about)
+            self.held.pop(path)[0].unpersist()
 
     def get(self, path: str) -> tuple[DataFrame, dict] | None:
         found = self.held.pop(path, None) or load(self.spark, path)
@@ -220,6 +282,5 @@ class IndexCache:
             return None
         found[0].persist()
         self.held[path] = found
-        while len(self.held) > self.most:
-            self.held.pop(next(iter(self.held)))[0].unpersist()
+        self._shrink()
         return found

@@ -12,6 +12,8 @@ import json
 import re
 from typing import Any
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,10 +56,22 @@ def is_dangerous(pattern: str) -> bool:
     return complexity(pattern) > MOST_COMPLEX or any(re.search(s, pattern) for s in FORBIDDEN_SHAPES)
 
 
-def _path(key: str) -> str:
-    if "'" in key:
-        raise FilterError(f"a key can't hold a quote: {key!r}")
-    return f"$['{key}']"
+def _inside(item: Column, key: str) -> Column:
+    """Field of a VARIANT object. A path can quote a key in two ways; one that fits neither is looked up in a map."""
+    if key and "'" not in key:
+        return F.try_variant_get(item, f"$['{key}']", "variant")
+    if key and '"' not in key:
+        return F.try_variant_get(item, f'$["{key}"]', "variant")
+    return F.try_element_at(F.try_variant_get(item, "$", "map<string,variant>"), F.lit(key))
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether Java, which runs the pattern, takes it."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
 
 
 class Value:
@@ -109,9 +123,7 @@ def _regex(value: Value, operand: Any) -> Column:
     pattern, flags = (operand.get("pattern"), operand.get("flags") or "") if isinstance(operand, dict) else (operand, "")
     if not isinstance(pattern, str) or not isinstance(flags, str) or len(pattern) > LONGEST_PATTERN or not re.fullmatch(FLAGS, flags) or is_dangerous(pattern):
         return F.lit(False)
-    try:
-        re.compile(pattern)
-    except re.error:
+    if not _compiles(pattern):
         return F.lit(False)
     mode = "".join(f for f in "ims" if f in flags)
     text = value.text()
@@ -210,7 +222,7 @@ def _equal_to(other: Any):
 def _field(item: Column, key: str) -> Value:
     """Field of an array element; a scalar is an object with the one field ``value``."""
     kind = Value(item)
-    inside = F.try_variant_get(item, _path(key), "variant")
+    inside = _inside(item, key)
     if key != "value":
         return Value(F.when(kind.is_a("object"), inside))
     return Value(F.when(kind.is_a("object"), inside).when(~kind.is_a("array"), item))
@@ -254,7 +266,7 @@ def compile_filter(condition: dict | None, metadata: str | Column = "metadata")
     if not condition:
         return F.lit(True)
     parsed = F.try_parse_json(F.col(metadata) if isinstance(metadata, str) else metadata)
-    get = lambda key: Value(F.try_variant_get(parsed, _path(key), "variant"))
+    get = lambda key: Value(_inside(parsed, key))
     if _is_simple(condition):
         return _all([get(k).equals(v) for k, v in condition.items()])
     return _complex(get, condition)

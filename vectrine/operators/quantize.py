@@ -27,13 +27,13 @@ def dimension_bounds(df: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def percentile_bounds(df: DataFrame, vector: str = "vector", share: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
-    """Elements at position ``floor(n * share)`` of all elements in order, as ``(low, high)``; nulls without any.
+    """Elements at position ``floor(n * share)`` of all finite elements in order, as ``(low, high)``; nulls without any.
 
     Equal values are counted before anything is ordered. The range that holds
     the position is narrowed by histograms until it has few different values, so
     no task sorts all elements.
     """
-    counts = exploded(df, vector).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    counts = exploded(df, vector).where(F.abs("value") < float("inf")).groupBy("value").agg(F.count(F.lit(1)).alias("c"))
     counts = materialize(counts, "counts")
     n = counts.agg(F.sum("c")).first()[0] or 0
     found = [_value_at(counts, min(int(n * s), n - 1)) for s in share] if n else [None, None]
@@ -49,8 +49,10 @@ def _value_at(counts: DataFrame, position: int, bins: int = 4096, few: int = 10_
                 if position < c:
                     return value
                 position -= c
-        step = (high - low) / bins
-        inside = F.least(F.lit(bins - 1), F.floor((F.col("value") - low) / step).cast("int"))
+        step = high / bins - low / bins
+        if not step > 0:
+            raise ArithmeticError("values too near each other to be told apart")
+        inside = F.least(F.lit(bins - 1), F.floor(F.col("value") / step - low / step).cast("int"))
         for b, c in sorted(tuple(r) for r in counts.groupBy(inside.alias("b")).agg(F.sum("c")).collect()):
             if position < c:
                 counts = counts.where(inside == b)

@@ -156,6 +156,14 @@ def i2(spark, sf_dir):
     return ann.search(index, _asked(spark, sf_dir), 10, p).select("qid", "id", r6(F.col("distance")).alias("distance"), "place")
 
 
+@query("i2_graph_recall", "SELECT true AS reached", base=False)
+def i2_recall(spark, sf_dir):
+    """Whether the graph search of every hundredth row has a recall of 0.9 against all rows."""
+    e, asked, p = embeddings(spark, sf_dir), _asked(spark, sf_dir), ann.Parameters(shard_rows=1000)
+    found = ann.search(ann.build(e, p, "vec_id", "embedding"), asked, 10, p)
+    return S.recall(found, S.batch_search(e, asked, 10, **E_), 10).agg((F.avg("recall") >= 0.9).alias("reached"))
+
+
 @query("a11_graph_statistics")
 def a11(spark, sf_dir):
     return ann.statistics(ann.build(embeddings(spark, sf_dir), ann.Parameters(shard_rows=1000), "vec_id", "embedding"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests, a laptop) a local folder is made and set instead.
+    is unset and the session is local (tests, a laptop) a local folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         app = spark.sparkContext.applicationId
         root = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="vectrine-")) if app not in _OWN else _OWN[app]
     return root.rstrip("/")

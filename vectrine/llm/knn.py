@@ -297,8 +297,8 @@ def nearest(usable: DataFrame, queries: DataFrame, width: int, k: int, target: f
 
 #: Copies of a vector that are told apart in a result go by salts of this many rows; rows of a bin of a second level, and bins of all second levels at most.
 COPIES, BIN_ROWS, MOST_BINS = 16_384, 1_024, 65_536
-#: Leaves that are all visited if there are no more, and factor of the calibrated visits of shells.
-ALL_LEAVES, MORE = 64, 1.25
+#: Leaves that are all visited if there are no more.
+ALL_LEAVES = 64
 #: Angle from the direction of its bin beyond which a row lies in its shell, what is added to a calibrated angle, in radians; places to which similarities are ranked.
 CORE, SLACK, RANK = 0.6, 0.02, 9
 
@@ -311,42 +311,48 @@ class Bins:
     of the bins. Rows far from theirs lie in the shell of the bin, which is
     numbered after all bins and has shelves apart: so a bin is known to hold
     nothing for a row that is far enough away, and the few strays are together.
-    ``held`` says which bins and shells hold rows.
+    ``radius`` is the greatest angle of the rows of each bin and shell, 0 where
+    there are none; ``held`` says where there are some.
     """
 
     index: Index
     start: np.ndarray
     directions: np.ndarray
     held: np.ndarray
+    radius: np.ndarray
 
-    def place(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Bin or shell of each row: in a divided leaf the nearest."""
+    def place(self, x: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin or shell of each row, in a divided leaf the nearest, and the angle from the bin's direction."""
         out, n = self.start[leaf], len(self.directions)
         for one in np.unique(leaf[(self.start[1:] - self.start[:-1])[leaf] > 1]):
             rows, a, z = np.flatnonzero(leaf == one), self.start[one], self.start[one + 1]
             out[rows] = a + (x[rows] @ self.directions[a:z].T).argmax(1)
-        return np.where(np.einsum("ij,ij->i", x, self.directions[out]) < np.cos(CORE), out + n, out).astype(np.int32)
-
-    def near_others(self, x: np.ndarray, reach: np.ndarray, excess: float, visits: tuple[int, int], shelf: int) -> list[np.ndarray]:
-        """For each row the bins and shells it has to look at, of the first ``visits`` leaves, for bins and for shells, in best-bin-first order.
-
-        ``reach`` is the angle of what it has found so far. A bin no further
-        away than that and ``CORE`` may hold something nearer, no other does; a
-        shell is looked at up to ``excess`` beyond. None for rows that are that
-        near to nothing on another shelf than ``shelf``.
+        angle = np.arccos(np.clip(np.einsum("ij,ij->i", x, self.directions[out]), -1, 1))
+        return np.where(angle > CORE, out + n, out).astype(np.int32), angle.astype(np.float32)
+
+    def near_others(self, x: np.ndarray, reach: np.ndarray, angle: np.ndarray, excess: tuple[float, float], visits: int, shelf: int) -> list[np.ndarray]:
+        """For each row the bins and shells it has to look at, of the first ``visits`` leaves in best-bin-first order.
+
+        ``reach`` is the angle of what it has found so far, ``angle`` that from
+        its own bin. A bin further away than ``reach`` and its radius can't hold
+        anything nearer. Rows lie in the leaf that is nearest to them, or nearly
+        so: one within reach is no further from its own than twice the reach
+        and the angle, and what was calibrated as ``excess``, for bins and for
+        shells. None for rows that are that near to nothing on another shelf
+        than ``shelf``.
         """
         n = len(self.directions)
-        limit = lambda wide: np.where(wide < 0, 2.0, np.cos(np.clip(wide, 0, np.pi)) - 1e-6).astype(np.float32)
-        core, shell = limit(reach + CORE), limit(reach + excess)
         other = self.held & ((self.index.first != shelf) | (self.index.salts > 1))
         out, step = [np.empty(0, np.int64)] * len(x), max(1, 4_000_000 // max(n, 1))
         for a in range(0, len(x), step):
-            s = x[a : a + step] @ self.directions.T
-            ok = np.concatenate([s >= core[a : a + step, None], s >= shell[a : a + step, None]], 1) & self.held
+            away = np.arccos(np.clip(x[a : a + step] @ self.directions.T, -1, 1))
+            far = (2 * reach + angle)[a : a + step, None]
+            core = away <= np.minimum(far + excess[0], reach[a : a + step, None] + self.radius[None, :n] + 1e-3)
+            ok = np.concatenate([core, away <= far + excess[1]], 1) & self.held
             some = np.flatnonzero(ok[:, other].any(1))
-            for i, leaves in zip(some, self.index.tree.best_bins(x[a + some], max(visits)) if len(some) else ()):
-                bins = [np.arange(self.start[leaf], self.start[leaf + 1]) for leaf in leaves]
-                bins = np.concatenate([*bins[: visits[0]], *[b + n for b in bins[: visits[1]]]])
+            for i, leaves in zip(some, self.index.tree.best_bins(x[a + some], visits) if len(some) else ()):
+                bins = np.concatenate([np.arange(self.start[leaf], self.start[leaf + 1]) for leaf in leaves])
+                bins = np.concatenate([bins, bins + n])
                 out[a + i] = bins[ok[i, bins]]
         return out
 
@@ -381,40 +387,41 @@ def divided(base: DataFrame, tree: Tree, width: int, rows: int, shelf_rows: int)
     parts = [centres.get(i, own[i : i + 1]) for i in range(tree.leaves)]
     start = np.cumsum([0, *map(len, parts)])
     none = np.zeros(0, np.int64)
-    return Bins(Index(tree, width, rows, none, none), start, np.concatenate(parts), none)
+    return Bins(Index(tree, width, rows, none, none), start, np.concatenate(parts), none, none)
 
 
 def binned(base: DataFrame, bins: Bins, shelf_rows: int) -> DataFrame:
-    """``(id, raw, leaf, shelf)`` with the bin as ``leaf``; sets the shelves of the bins."""
+    """``(id, raw, leaf, angle, shelf)`` with the bin as ``leaf``; sets the shelves of the bins."""
     spark, width = base.sparkSession, bins.index.width
     shared = spark.sparkContext.broadcast(bins)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(leaf=shared.value.place(unit(matrix(b["raw"], width)), b["leaf"].to_numpy()))
+                leaf, angle = shared.value.place(unit(matrix(b["raw"], width)), b["leaf"].to_numpy())
+                yield b.assign(leaf=leaf, angle=angle)
 
-    base, n = materialize(base.mapInPandas(run, BASE), "binned"), len(bins.directions)
-    count = np.zeros(2 * n, np.int64)
-    for leaf, c in base.groupBy("leaf").count().collect():  # bounded by the bins
-        count[leaf] = c
+    base, n = materialize(base.mapInPandas(run, f"{BASE}, angle float"), "binned"), len(bins.directions)
+    count, bins.radius = np.zeros(2 * n, np.int64), np.zeros(2 * n)
+    for leaf, c, r in base.groupBy("leaf").agg(F.count(F.lit(1)), F.max("angle")).collect():  # bounded by the bins
+        count[leaf], bins.radius[leaf] = c, r
     cores, shells = shelves_by(count[:n], shelf_rows), shelves_by(count[n:], shelf_rows)
     bins.index.first = np.concatenate([cores[0], shells[0] + (cores[0] + cores[1]).max()])
     bins.index.salts, bins.held = np.concatenate([cores[1], shells[1]]), count > 0
     return on_shelves(base, bins.index)
 
 
-def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: int = CALIBRATION) -> tuple[tuple[int, int], float]:
-    """Leaf visits, for bins and for shells, that a calibration set needs for the recall ``target``, and how far beyond a row's k-th best on its own shelf the shells are that it needs.
+def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: int = CALIBRATION) -> tuple[int, tuple[float, float]]:
+    """Leaf visits that a calibration set needs for the recall ``target``, and the ``excess`` of :meth:`Bins.near_others`.
 
     The true neighbours of the set come from brute force over all rows, and so
-    do the best ones on its own shelves. The angle is the widest that any of
-    the set needs.
+    do the best ones on its own shelves. For bins the excess is the greatest
+    that the set needs, for shells half of what the target allows is given up.
     """
-    every = (bins.index.tree.leaves,) * 2
+    every, wide = bins.index.tree.leaves, (np.pi, np.pi)
     if bins.index.rows < 2:
-        return every, 0.0
-    chosen = sample_of(shelved, bins.index.rows, most, seed=1).select("id", "raw", "shelf").toPandas().sort_values("id")
+        return every, wide
+    chosen = sample_of(shelved, bins.index.rows, most, seed=1).select("id", "raw", "shelf", "angle").toPandas().sort_values("id")
     width = bins.index.width
     x, ids, home = unit(matrix(chosen["raw"], width)), chosen["id"].to_numpy(), chosen["shelf"].to_numpy()
     shared = shelved.sparkSession.sparkContext.broadcast((x, ids, home))
@@ -443,27 +450,25 @@ def calibrate_all(shelved: DataFrame, bins: Bins, k: int, target: float, most: i
     full = own.index[own["size"] >= k].to_numpy()
     reach[full] = np.arccos(np.clip(own.loc[full, "min"].to_numpy(), -1, 1))
     true = found[~found["own"]]
-    if not len(true):
-        return every, 0.0
+    if not len(true) or every <= ALL_LEAVES:
+        return every, wide
     n = len(bins.directions)
     leaf_of = np.searchsorted(bins.start, true["leaf"].to_numpy() % n, side="right") - 1
     rank = [{leaf: i + 1 for i, leaf in enumerate(o)} for o in bins.index.tree.best_bins(x, bins.index.tree.leaves)]
-    needed = np.array([1 if same else rank[q][int(leaf)] for q, leaf, same in zip(true["q"], leaf_of, true["same"])])
-    shell = true["leaf"].to_numpy() >= n
-    plain = np.sort(np.where(shell, 1, needed))
-    visits = int(plain[max(0, int(np.ceil(target * len(plain))) - 1)]), int(MORE * np.where(shell, needed, 1).max())
-    away = true[~true["same"] & (true["leaf"] >= n)]
-    q = away["q"].to_numpy()
-    excess = np.arccos(np.clip(np.einsum("ij,ij->i", x[q], bins.directions[away["leaf"].to_numpy() - n]), -1, 1)) - reach[q]
-    if bins.index.tree.leaves <= ALL_LEAVES:
-        return every, np.pi
-    return visits, float(excess.max()) if len(excess) else 0.0
+    needed = np.sort([1 if same else rank[q][int(leaf)] for q, leaf, same in zip(true["q"], leaf_of, true["same"])])
+    visits = int(needed[max(0, int(np.ceil(target * len(needed))) - 1)])
+    away = true[~true["same"]]
+    q, leaf = away["q"].to_numpy(), away["leaf"].to_numpy()
+    far = np.arccos(np.clip(np.einsum("ij,ij->i", x[q], bins.directions[leaf % n]), -1, 1)) - 2 * reach[q] - chosen["angle"].to_numpy()[q]
+    core, shell = np.sort(far[leaf < n]), np.sort(far[leaf >= n])
+    lost = int((1 - target) / 2 * len(true))
+    return visits, (float(core[-1]) + SLACK if len(core) else 0.0, float(shell[-1 - min(lost, len(shell) - 1)]) + SLACK if len(shell) else 0.0)
 
 
 HOME = "id string, raw binary, leaf int, shelf int, least float, near array<string>, closeness array<double>, shelves array<int>, bins array<int>"
 
 
-def at_home(shelved: DataFrame, bins: Bins, k: int, visits: tuple[int, int], excess: float) -> DataFrame:
+def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: tuple[float, float]) -> DataFrame:
     """Each row with its ``k`` best on its own shelf, and the other shelves and bins it has to look at."""
     shared, width = shelved.sparkSession.sparkContext.broadcast(bins), bins.index.width
 
@@ -493,14 +498,14 @@ def at_home(shelved: DataFrame, bins: Bins, k: int, visits: tuple[int, int], exc
                 out["closeness"].append(exact[c:d])
                 if full:
                     reach[row] = np.arccos(np.clip(exact[d - 1], -1, 1)) + 1e-3
-            for some in b.near_others(q, reach, excess + SLACK, visits, shelf):
+            for some in b.near_others(q, reach, group["angle"].to_numpy()[a : a + QUERY_BLOCK], excess, visits, shelf):
                 there = b.shelves_of(some) if len(some) else some
                 there = there[there != shelf]
                 out["shelves"].append(there.astype(np.int32))
                 out["bins"].append((some if len(there) else some[:0]).astype(np.int32))
         return group.assign(**{name: pd.Series(v, index=group.index) for name, v in out.items()})[[c.split()[0] for c in HOME.split(", ")]]
 
-    return shelved.select("id", "raw", "leaf", "shelf").groupBy("shelf").applyInPandas(run, HOME)
+    return shelved.select("id", "raw", "leaf", "angle", "shelf").groupBy("shelf").applyInPandas(run, HOME)
 
 
 def elsewhere(home: DataFrame, index: Index, k: int) -> DataFrame:

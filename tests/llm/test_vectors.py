@@ -84,6 +84,21 @@ def test_buckets_with_lead_bits(data):
     assert set(map(tuple, one.collect())) == set(map(tuple, cut.collect()))
 
 
+def test_hot_buckets_are_cut(spark, monkeypatch):
+    """Most vectors are near copies of one, so a bucket of each band holds them all; copies are paired over several salts."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([unit(rng.standard_normal((1, WIDTH))) + 0.002 * rng.standard_normal((120, WIDTH)), rng.standard_normal((60, WIDTH))]).astype(np.float32)
+    x = np.concatenate([x, x[:1].repeat(20, 0)])
+    s, plain = cosines(x), B.candidates
+    monkeypatch.setattr(B, "COPIES", 4)
+    monkeypatch.setattr(B, "candidates", lambda v, w, n, least: plain(v, w, n, least, bucket_rows=20))
+    pairs = B.pairs_of_parts
+    assert {p for p, _ in pairs(np.array([(k, 0, 0, (0, 0)) for k in range(40)], B.CODE), 3)} == {0, 1, 2, (1 << 16) | 1, (1 << 16) | 2, (2 << 16) | 2}
+    expected = {(ids(i), ids(j)) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.99}
+    found = [tuple(r) for r in B.near_pairs(table(spark, x), WIDTH).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 9000
+
+
 def test_runs_are_all_pairs():
     key = np.array([1, 1, 1, 2, 3, 3])
     got = {(int(a), int(b)) for i, j in B.runs(key) for a, b in zip(i, j)}

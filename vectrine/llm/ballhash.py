@@ -9,7 +9,8 @@ Ball hashing. In each band a vector emits all variants within half the radius 2,
 itself and every flip of one bit. Two vectors within the radius share a
 variant, so they meet. The leading bits of a variant name its bucket; within a
 bucket the flips of the other bits are made where they are compared, so that
-what is shuffled are a few packed codes for each vector and band.
+what is shuffled are a few packed codes for each vector and band. A bucket that
+holds too many codes is cut into parts, and each two parts meet in a task.
 
 Vectors that meet are compared by their sketches, remaining pairs are
 deduplicated and verified on the vectors themselves.
@@ -30,6 +31,8 @@ from vectrine.session import materialize
 
 #: Bands, products of frequency and distance at the similarity limit for bands and sketch, bits of the sketch, rows of a bucket.
 BANDS, STEP, SKETCH_STEP, SKETCH, BUCKET_ROWS = 12, 0.424, 0.7, 128, 98_304
+#: Copies of a vector that are paired with all others in a task.
+COPIES = 16_384
 CODE = np.dtype([("key", "<i8"), ("band", "<u4"), ("own", "<u4"), ("sketch", "<u8", (SKETCH // 64,))])
 
 
@@ -102,6 +105,18 @@ def runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a = z
 
 
+def pairs_of_parts(codes: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(pair, codes)``: the codes for each two of ``count`` parts, by a hash of the key; one pair if there is one part."""
+    if count == 1:
+        yield 0, codes
+        return
+    part = (codes["key"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % count
+    for p in np.unique(part):
+        some = codes[part == p]
+        for q in range(count):
+            yield (min(int(p), q) << 16) | max(int(p), q), some
+
+
 def candidates(vectors: DataFrame, width: int, rows: int, least: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(a, b)`` with a < b: keys of distinct vectors that meet in some band and whose sketches agree.
 
@@ -114,6 +129,23 @@ def candidates(vectors: DataFrame, width: int, rows: int, least: float, bucket_r
     tail = bits - lead
     shared = spark.sparkContext.broadcast(Fingerprints(width, bits, least))
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BANDS << lead, np.int64)
+        for batch in batches:
+            if len(batch):
+                band = (shared.value(unit(matrix(batch["raw"], width)))[0] >> tail).astype(np.int64)
+                total += np.bincount(((np.arange(BANDS) << lead) + band).ravel(), minlength=len(total))
+        yield pd.DataFrame({"bucket": np.arange(len(total)), "n": total})[total > 0]
+
+    parts_of = np.ones(BANDS << lead, np.int64)
+    if rows > bucket_rows:
+        own = np.zeros(BANDS << lead, np.int64)
+        for b, n in vectors.mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n")).collect():  # bounded by the buckets
+            own[b] = n
+        held = own + sum((own[np.arange(len(own)) ^ (1 << i)] for i in range(lead)), np.zeros_like(own))
+        parts_of = np.where(held > 4 * bucket_rows, -(-held // bucket_rows), 1)
+    cut_into = spark.sparkContext.broadcast(parts_of)
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -132,7 +164,9 @@ def candidates(vectors: DataFrame, width: int, rows: int, least: float, bucket_r
                     order = np.argsort(to, kind="stable")
                     cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
                     for a, z in zip(cut, np.r_[cut[1:], len(to)]):
-                        parts.setdefault((t << lead) | int(to[order[a]]), []).append(one[order[a:z]].tobytes())
+                        bucket, codes = (t << lead) | int(to[order[a]]), one[order[a:z]]
+                        for pair, some in pairs_of_parts(codes, int(cut_into.value[bucket])):
+                            parts.setdefault((bucket << 32) | pair, []).append(some.tobytes())
             yield pd.DataFrame({"bucket": parts.keys(), "codes": [b"".join(x) for x in parts.values()]})
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +192,7 @@ def candidates(vectors: DataFrame, width: int, rows: int, least: float, bucket_r
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    packed = vectors.mapInPandas(emit, "bucket int, codes binary")
+    packed = vectors.mapInPandas(emit, "bucket bigint, codes binary")
     return packed.groupBy("bucket").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
@@ -206,10 +240,13 @@ def near_pairs(usable: DataFrame, width: int = 128, least: float = 0.99) -> Data
     of = records.select("id", "key")
     x, y = of.select(F.col("key").alias("a"), F.col("id").alias("x")), of.select(F.col("key").alias("b"), F.col("id").alias("y"))
     across = linked.join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    many = of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    copies = of.join(many, "key", "left_semi")
-    c, d = copies.select("key", F.col("id").alias("id_a")), copies.select("key", F.col("id").alias("id_b"))
-    return across.unionByName(c.join(d, "key").where("id_a < id_b").select("id_a", "id_b"))
+    many = of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = of.join(many, "key")
+    # the pairs of a vector that many rows have are made in several tasks
+    salts = F.floor(F.col("n") / COPIES) + 1
+    c = copies.select("key", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), salts).alias("salt"))
+    d = copies.select("key", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    return across.unionByName(c.join(d, ["key", "salt"]).where("id_a < id_b").select("id_a", "id_b"))
 
 
 def near_groups(usable: DataFrame, width: int = 128, least: float = 0.99) -> DataFrame:

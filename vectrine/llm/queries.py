@@ -111,6 +111,13 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_chars", "n_lines", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuation_share", "common_share")])
 
 
+@query
+def p9_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics once more, every text in chunks of 256 characters, merged by border states."""
+    found = text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), chunk=256)
+    return found.select("doc_id", "n_words", "n_chars", "n_lines", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuation_share", "common_share")])
+
+
 USABLE = """
 u AS (SELECT id, vector::DOUBLE[] AS v FROM (
   SELECT id, vector, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN "timestamp" IS NULL OR "timestamp" = 0 THEN last_accessed ELSE "timestamp" END DESC NULLS LAST, ingested_at DESC NULLS LAST) AS n
@@ -147,5 +154,6 @@ s AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_chars,
   FROM t LEFT JOIN wa USING (n) LEFT JOIN la USING (n))
 """
 SQL["p9_statistics"] = f"WITH {STATISTICS} SELECT doc_id, n_words, n_chars, n_lines, round(mean_word_length, 6) AS mean_word_length, round(symbol_ratio, 6) AS symbol_ratio, round(punctuation_share, 6) AS punctuation_share, round(common_share, 6) AS common_share FROM s"
+SQL["p9_chunked"] = SQL["p9_statistics"]
 SQL["p9_found"] = f"""WITH {STATISTICS} SELECT doc_id FROM s WHERE n_words >= 10 AND
 coalesce((mean_word_length < 2.5 OR mean_word_length > 10)::INT, 0) + coalesce((symbol_ratio > 0.2)::INT, 0) + coalesce((punctuation_share < 0.5)::INT, 0) + coalesce((common_share < 0.2)::INT, 0) >= 2"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.functions.metrics import dot, euclidean, norm, total
 from vectrine.functions.vectors import half_up
 from vectrine.operators.aggregates import by_dimension, exploded
 from vectrine.session import materialize
@@ -93,16 +92,32 @@ def memory(dimension, bits, with_bounds: bool = True):
     return -(-raw // 4) * 4
 
 
-def quality(a: Column, b: Column) -> dict[str, Column]:
-    """Error and likeness of a vector and its decompressed form, and one score of them."""
-    error = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    mse = total(error) / F.size(a)
-    power = total(F.transform(a, lambda x: x.cast("double") * x.cast("double"))) / F.size(a)
+def quality_sums(a: Column, b: Column) -> Column:
+    """What :func:`quality_of` needs of a vector and its decompressed form, in one pass: sizes and sums of products."""
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("error"), zero.alias("aa"), zero.alias("bb"), zero.alias("ab"))
+
+    def add(s: Column, p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        return F.struct((s["error"] + (x - y) * (x - y)).alias("error"), (s["aa"] + x * x).alias("aa"), (s["bb"] + y * y).alias("bb"), (s["ab"] + x * y).alias("ab"))
+
+    return F.aggregate(pairs, start, add, lambda s: F.struct(F.size(a).alias("n"), s["error"].alias("error"), s["aa"].alias("aa"), s["bb"].alias("bb"), s["ab"].alias("ab")))
+
+
+def quality_of(sums: Column) -> dict[str, Column]:
+    """Error and likeness of a vector and its decompressed form, and one score of them. Give a column, so that the sums are made once."""
+    mse, power = sums["error"] / sums["n"], sums["aa"] / sums["n"]
     snr = F.when(mse == 0, F.lit(float("inf"))).otherwise(10 * F.log10(power / mse))
-    scale = norm(a) * norm(b)
-    cosine = F.when(scale == 0, 0.0).otherwise(dot(a, b) / scale)
+    scale = F.sqrt(sums["aa"]) * F.sqrt(sums["bb"])
+    cosine = F.when(scale == 0, 0.0).otherwise(sums["ab"] / scale)
     score = 0.3 * F.greatest(F.lit(0.0), 1 - mse) + 0.3 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), snr / 20)) + 0.4 * cosine
-    return {"mse": mse, "snr": snr, "cosine": cosine, "euclidean": euclidean(a, b), "score": score}
+    return {"mse": mse, "snr": snr, "cosine": cosine, "euclidean": F.sqrt(sums["error"]), "score": score}
+
+
+def quality(a: Column, b: Column) -> dict[str, Column]:
+    """:func:`quality_of` of two columns of vectors."""
+    return quality_of(quality_sums(a, b))
 
 
 def int8_codes(v: Column) -> tuple[Column, Column]:

@@ -109,7 +109,7 @@ def k7(spark, sf_dir):
     v = F.col("embedding")
     low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
     df = embeddings(spark, sf_dir).withColumn("back", Z.dequantize(Z.quantize(v, low, high, 4), low, high, 4))
-    return df.select("vec_id", *[r6(c).alias(k) for k, c in Z.quality(v, F.col("back")).items()])
+    return df.select("vec_id", Z.quality_sums(v, F.col("back")).alias("sums")).select("vec_id", *[r6(c).alias(k) for k, c in Z.quality_of(F.col("sums")).items()])
 
 
 BOOK = P.Codebook(np.stack([np.stack([np.full(8, (k - 8) / 32 + m / 100) for k in range(16)]) for m in range(8)]), 0.0)

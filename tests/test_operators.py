@@ -349,6 +349,20 @@ def test_upserts_at_the_same_time_leave_an_id_once(spark):
 # codecs
 
 
+def test_relational_tables_and_memory(spark):
+    rows = [(f"k{i}", [float(i), 0.5], json.dumps({"n": i, "t": "x'y"})) for i in range(20)] + [("none", [1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>, metadata string")
+    url, driver = f"jdbc:derby:memory:v{np.random.default_rng().integers(10**9)};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    C.write_jdbc(df, url, "records", 3, driver)
+    back = C.read_jdbc(spark, url, "records", 3, driver)
+    found = sorted((r.id, r.vector, None if r.metadata is None else json.dumps(json.loads(r.metadata))) for r in back.collect())
+    assert found == sorted((i, v, m) for i, v, m in rows) and back.rdd.getNumPartitions() == 3
+    C.keep_in_memory(df, "kept")
+    assert C.open_source(spark, "memory:kept").count() == 21
+    with pytest.raises(ValueError):
+        C.open_source(spark, "kept")
+
+
 @given(st.lists(floats, max_size=8), st.text(min_size=1, max_size=5), st.integers(0, 2**40))
 def test_binary_round_trip(vector, key, now):
     r = {"id": key, "vector": vector, "metadata": json.dumps({"k": key}), "magnitude": 1.5, "format": "float32", "normalized": False, "timestamp": now, "last_accessed": None, "access_count": 3}

@@ -150,17 +150,28 @@ def read_files(spark: SparkSession, path: str, form: str, skip_corrupt: bool = F
     raise ValueError(f"unknown form {form!r}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, bounds: tuple[int, int], parts: int = 16) -> DataFrame:
-    """Records of a relational table, read in parallel; needs the database's driver on the class path."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
+def write_jdbc(df: DataFrame, url: str, table: str, parts: int = 16, options: dict | None = None) -> None:
+    """Export to a relational table ``(part, id, value)`` of JSON texts, replacing it; ``part`` is what :func:`read_jdbc` reads it by."""
+    rows = to_json(df).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "value")
+    rows.write.jdbc(url, table, "overwrite", options or {})
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, parts: int = 16, options: dict | None = None) -> DataFrame:
+    """Records of a table that :func:`write_jdbc` made, read by ``parts`` tasks; needs the database's driver on the class path."""
+    return from_json(spark.read.jdbc(url, table, column="part", lowerBound=0, upperBound=parts, numPartitions=parts, properties=options or {}))
+
+
+def keep_in_memory(df: DataFrame, name: str) -> None:
+    """Records of this session under a name, cached over the executors; lost blocks are made again."""
+    df.cache().createOrReplaceTempView(name)
 
 
 def open_source(spark: SparkSession, address: str) -> DataFrame:
-    """Reads ``form:path``, such as ``json:/data/export``; an unknown form is an error, there is no silent fallback."""
+    """Reads ``form:path``, such as ``json:/data/export`` or ``memory:name``; an unknown form is an error, there is no silent fallback."""
     form, _, path = address.partition(":")
     if not path:
         raise ValueError(f"no form and path: {address!r}")
-    return read_files(spark, path, form)
+    return spark.table(path) if form == "memory" else read_files(spark, path, form)
 
 
 # bit packing

@@ -103,15 +103,14 @@ class VersionedTable:
 
     def _named(self, aside, target) -> bool:
         """Whether the file got its name. On a local disk a rename may overwrite; a hard link never does."""
-        if str(self._fs.getScheme()) != "file":
-            return not self._fs.exists(target) and bool(self._fs.rename(aside, target))
+        rename = lambda: not self._fs.exists(target) and bool(self._fs.rename(aside, target))
+        if str(self._fs.getUri().getScheme()) != "file":
+            return rename()
         nio, path = self.spark.sparkContext._jvm.java.nio.file, lambda p: self.spark.sparkContext._jvm.java.io.File(str(p.toUri().getPath())).toPath()
         try:
             nio.Files.createLink(path(self._fs.makeQualified(target)), path(self._fs.makeQualified(aside)))
         except Exception as e:  # noqa: BLE001  raised by the JVM
-            if "FileAlreadyExists" in str(e):
-                return False
-            raise
+            return False if "FileAlreadyExists" in str(e) else rename()  # a mounted folder may know no links
         self._fs.delete(aside, False)
         return True
 
@@ -271,7 +270,7 @@ class VersionedTable:
         def told(label: list[tuple[str, int]], what: str) -> DataFrame:
             rows = self._load(schema, [f for f, _ in label], True)
             names = self.spark.createDataFrame(label, f"{FILE} string, {name} int")
-            return rows.join(F.broadcast(names), FILE).withColumn("_change", F.lit(what))
+            return rows.join(names, FILE).withColumn("_change", F.lit(what))
 
         parts = [told([(f, s["version"]) for s in steps for f in s["added"]], "added")]
         removed = [(f, s["version"]) for s in steps for f in s["removed"]]
@@ -283,7 +282,7 @@ class VersionedTable:
         if vectors:
             where = self.spark.createDataFrame(vectors, f"_vector string, {name} int")
             lost = self._gone([v for v, _ in vectors]).select(FILE, POSITION, F.regexp_extract(self._inside(), "^(deleted/[0-9a-f]+)", 1).alias("_vector"))
-            lost = lost.join(F.broadcast(where), "_vector").groupBy(FILE, POSITION).agg(F.min(name).alias(name))
+            lost = lost.join(where, "_vector").groupBy(FILE, POSITION).agg(F.min(name).alias(name))
             if before["deleted"]:
                 lost = lost.join(self._gone(before["deleted"]), [FILE, POSITION], "left_anti")
             named = {r[0] for r in lost.select(FILE).distinct().collect()}  # bounded by the files of the table

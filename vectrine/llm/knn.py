@@ -128,6 +128,11 @@ def on_shelves(base: DataFrame, index: Index) -> DataFrame:
     return base.join(F.broadcast(where), "leaf").withColumn("shelf", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int")).drop("first", "salts")
 
 
+def by_shelf(shelved: DataFrame, index: Index) -> DataFrame:
+    """Rows of a shelf in one partition, seldom with those of another: three partitions for each shelf."""
+    return shelved.repartition(3 * index.shelves, "shelf")
+
+
 def top_of(s: np.ndarray, k: int) -> np.ndarray:
     """Mask of the ``k`` greatest of each row; among equals the first."""
     if s.shape[1] <= k:
@@ -505,7 +510,7 @@ def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: tuple[f
                 out["bins"].append((some if len(there) else some[:0]).astype(np.int32))
         return group.assign(**{name: pd.Series(v, index=group.index) for name, v in out.items()})[[c.split()[0] for c in HOME.split(", ")]]
 
-    return shelved.select("id", "raw", "leaf", "angle", "shelf").groupBy("shelf").applyInPandas(run, HOME)
+    return by_shelf(shelved.select("id", "raw", "leaf", "angle", "shelf"), bins.index).groupBy("shelf").applyInPandas(run, HOME)
 
 
 def elsewhere(home: DataFrame, index: Index, k: int) -> DataFrame:

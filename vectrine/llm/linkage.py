@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.llm.components import components
-from vectrine.llm.knn import build, fit, matrix, on_shelves, placed
+from vectrine.llm.knn import build, by_shelf, fit, matrix, on_shelves, placed
 from vectrine.llm.tree import unit, unit64
 from vectrine.session import materialize
 
@@ -279,7 +279,7 @@ class Clusters:
         tree, rows = fit(usable, width)
         base = placed(usable, tree, width)
         index = build(base, tree, width, rows, shelf_rows)
-        self.parts = materialize(shelf_clusters(on_shelves(base, index), width, least), "parts")
+        self.parts = materialize(shelf_clusters(by_shelf(on_shelves(base, index), index), width, least), "parts")
         self.members = self.parts.where("kind = 'm'").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "raw", "shelf", "n")
         self.sums = self.parts.where("kind = 's'").select(F.col("a").alias("cluster"), F.col("raw").alias("sum"), "n", "shelf", "radius")
         self.near = near_parts(self.sums, least)

@@ -277,8 +277,9 @@ def test_one_table_follows_renames(spark):
 def test_one_table_follows_nested_nodes(spark):
     v, p, f = drift_tables(spark, [(1, "s", 1, "rows"), (2, "s", 2, "rows"), (3, "s", 3, "rows")], [(1, "a", {"p": {"amount": 5, "unit": "kg"}}), (2, "a", {"price": 5, "q": {"unit": "kg"}, "l": [{"x": 1}]}), (3, "a", {"cost": 5, "q": {"unit": "kg", "new": {}}})])
     found = one_table(v, p, f)
-    assert {r.file_no: r[3:-1] for r in found.collect()} == {1: (None, "5", "kg", None), 2: ('[{"x": 1}]', "5", "kg", None), 3: (None, "5", "kg", "{}")}
-    assert found.columns[3:] == ["metadata_l", "metadata_p_amount", "metadata_p_unit", "metadata_q_new", "other"]
+    assert {r.file_no: r[3:-1] for r in found.collect()} == {1: (None, "5", "kg"), 2: ('[{"x": 1}]', "5", "kg"), 3: (None, "5", "kg")}
+    assert found.columns[3:] == ["metadata_l", "metadata_p_amount", "metadata_p_unit", "other"]
+    assert {r.file_no: r.other for r in found.collect()}[3] == {n("metadata.q", "new"): "{}"}  # an object that holds nothing has no column
 
 
 def test_column_names():

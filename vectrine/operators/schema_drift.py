@@ -470,7 +470,7 @@ def one_table(rows: DataFrame, payloads: DataFrame, files: DataFrame) -> DataFra
 
     The scripts compile into one projection: each column reads, in each file,
     the node that carries it there; null where the file has none. Objects are
-    told by what they hold, arrays as a whole. Records whose node is too rare
+    told by what they hold, empty ones among the others, arrays as a whole. Records whose node is too rare
     in its file to be part of the schema keep it in ``other``, a map. Values
     are JSON texts, strings without their quotes.
     """

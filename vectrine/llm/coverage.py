@@ -1,13 +1,13 @@
 """A varied subset of given size by concave feature coverage.
 
 Each record has mass on three features: its leaf of a k-means tree, whose leaves
-hold alike records in any number, the part of the leaf on whose side it lies, and, as far as it is like no leaf, a hash bucket
-of its direction, which rare kinds share with few others. A feature weighs the
-eighth root of its mass in the whole collection, and a subset is worth the
-weighted sum of the square roots of its masses. A group therefore gets picks
-about as the fourth root of its size: large ones far less than in proportion,
-and rare kinds have their place. Rounds with a descending threshold add every record whose
-marginal gain reaches it.
+hold alike records in any number, the part of the leaf on whose side it lies,
+and, as far as it is like no leaf, a hash bucket of its direction, which rare
+kinds share with few others. A feature weighs the eighth root of its mass in the
+whole collection, and a subset is worth the weighted sum of the square roots of
+its masses. A group therefore gets picks about as the fourth root of its size:
+large ones far less than in proportion, and rare kinds have their place. Rounds
+with a descending threshold add every record whose marginal gain reaches it.
 
 Records of the same main feature lie in the same pack, in a fixed order, where
 they see each other's gains fall; packs are of bounded size. A round reads the

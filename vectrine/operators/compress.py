@@ -22,7 +22,7 @@ def scalar(df: DataFrame, bits: int = 8, vector: str = "vector", key: str = "id"
     made = df.select(key, vector, F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"), F.lit(bits).alias("bits"))
     made = made.withColumn("codes", Z.quantize(v, F.col("low"), F.col("high"), bits))
     back = Z.dequantize(F.col("codes"), F.col("low"), F.col("high"), bits)
-    made = made.withColumn("quality", Z.quality(v, back)["score"])
+    made = made.withColumn("_sums", Z.quality_sums(v, back)).withColumn("quality", Z.quality_of(F.col("_sums"))["score"])
     if loss is not None:
         fine = F.assert_true(F.col("quality") >= 1 - loss, F.lit("compression loses too much"))
         made = made.withColumn("quality", F.when(fine.isNull(), F.col("quality")))

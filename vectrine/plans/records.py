@@ -107,8 +107,9 @@ COSINE = f"({total('v[i] * w[i]')} / (sqrt({total('v[i] * v[i]')}) * sqrt({total
 @query("k7_quality", f"SELECT vec_id, {r6_sql('mse')} AS mse, {r6_sql('snr')} AS snr, {r6_sql('c')} AS cosine, {r6_sql('sqrt(mse * 64)')} AS euclidean, {r6_sql('0.3 * greatest(0.0, 1 - mse) + 0.3 * greatest(0.0, least(1.0, snr / 20)) + 0.4 * c')} AS score FROM (SELECT vec_id, mse, c, 10 * log10({total('v[i] * v[i]')} / len(v) / mse) AS snr FROM (SELECT vec_id, v, {MSE} AS mse, {COSINE} AS c FROM {BACK}))")
 def k7(spark, sf_dir):
     v = F.col("embedding")
-    low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
-    df = embeddings(spark, sf_dir).withColumn("back", Z.dequantize(Z.quantize(v, low, high, 4), low, high, 4))
+    # columns of their own, else the bounds are looked for again at each element
+    df = embeddings(spark, sf_dir).withColumns({"low": F.array_min(v).cast("double"), "high": F.array_max(v).cast("double")})
+    df = df.withColumn("back", Z.dequantize(Z.quantize(v, F.col("low"), F.col("high"), 4), F.col("low"), F.col("high"), 4))
     return df.select("vec_id", Z.quality_sums(v, F.col("back")).alias("sums")).select("vec_id", *[r6(c).alias(k) for k, c in Z.quality_of(F.col("sums")).items()])
 
 

@@ -1,6 +1,9 @@
 """Near duplicates, neighbours, clusters and subsets against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +173,45 @@ def test_hot_leaves_are_spread_without_loss(data):
     assert a == b and len(a) == 40 * 8
 
 
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_does_not_follow_leaves_and_shelves():
+    """A block of queries over a whole shelf, and a batch of them over a tree of thousands of leaves, beside the result itself."""
+    rng = np.random.default_rng(5)
+    s = rng.standard_normal((2048, 8192), np.float32)
+    assert peak_mb(lambda: K.top_of(s, 14)) < 80
+    tree = Tree(unit(rng.standard_normal((6_000, WIDTH))), 4)
+    q = unit(rng.standard_normal((4096, WIDTH)))
+    assert tree.leaves > 1500 and peak_mb(lambda: tree.best_bins(q, 1)) < 60
+    index = K.Index(tree, WIDTH, 10**7, np.arange(tree.leaves) * 2, np.full(tree.leaves, 2))  # each leaf has two shelves
+    b = pd.DataFrame({"query": np.arange(100), "own": "v", "k": 8, "raw": [v.tobytes() for v in q[:100]]})
+    frames = list(K.routed(b, index, 400, np.ones(index.shelves, np.int64)))
+    assert max(map(len, frames)) <= K.ROUTE_ROWS and len(pd.concat(frames)[["query", "shelf"]].drop_duplicates()) == sum(map(len, frames)) == 100 * 800
+
+
+def test_products_by_pieces(monkeypatch):
+    """Ties are taken in order, and pieces find what one product finds."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (300, WIDTH)).astype(np.float32)  # products are exact
+    x[100:200] = x[:100]
+    whole = K.top_pairs(x, x, 9, own=0)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    i, j = np.nonzero(np.argsort(np.argsort(-s, 1, "stable"), 1, "stable") < 9)
+    monkeypatch.setattr(K, "PIECE", 2100)
+    for got in (whole, K.top_pairs(x, x, 9, own=0)):
+        assert len(got[0]) == 300 * 9 and np.array_equal(got[0], i) and np.array_equal(np.sort(got[2]), np.sort(s[i, j]))
+        assert np.array_equal(got[1], j)
+    assert len(K.top_pairs(x[:0], x, 9)[0]) == 0
+
+
 def test_ties_and_repeated_queries(spark):
     x = np.array([[1, 0], [1, 0], [1, 0], [0, 1], [2, 0]], np.float32)
     df = table(spark, x)

@@ -20,13 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrine.llm.tree import Tree, k_means, unit, unit64
+from vectrine.llm.tree import PIECE, Tree, k_means, unit, unit64
 from vectrine.session import materialize, release
 
 #: Rows that the tree is fitted on: an eighth of all, but no fewer and no more than these; rows of the calibration set, and its recall.
 LEAST_SAMPLE, MOST_SAMPLE, CALIBRATION, TARGET = 24_000, 100_000, 256, 0.999
 #: Rows of a shelf, queries that meet it in a task, and that are searched for at once.
 SHELF_ROWS, SHELF_QUERIES, QUERY_BLOCK = 8_192, 16_384, 2_048
+#: Queries that are routed at once, and copies of queries that a task gives back at once.
+ROUTE_BLOCK, ROUTE_ROWS = 64, 8_192
 BASE = "id string, raw binary, leaf int"
 
 
@@ -76,8 +78,8 @@ def sample_of(usable: DataFrame, rows: int, most: int, seed: int = 0) -> DataFra
 def fit(usable: DataFrame, width: int, seed: int = 7, leaf_rows: int = 48, alike: float = 2.0) -> tuple[Tree, int]:
     """Tree over ``(id, vector)`` rows, fitted on a bounded sample of them, and their number."""
     rows = usable.count()
-    picked = sample_of(usable, rows, min(MOST_SAMPLE, max(LEAST_SAMPLE, rows // 8))).select("id", "vector").toPandas().sort_values("id")
-    x = unit(stacked(picked["vector"], width)) if len(picked) else np.zeros((1, width), np.float32)
+    picked = sample_of(usable, rows, min(MOST_SAMPLE, max(LEAST_SAMPLE, rows // 8))).select("id", raw_bytes("vector").alias("raw")).toPandas().sort_values("id")
+    x = unit(matrix(picked["raw"], width)) if len(picked) else np.zeros((1, width), np.float32)
     return Tree(x, leaf_rows, seed=seed, alike=alike), rows
 
 
@@ -137,9 +139,57 @@ def top_of(s: np.ndarray, k: int) -> np.ndarray:
     """Mask of the ``k`` greatest of each row; among equals the first."""
     if s.shape[1] <= k:
         return np.ones(s.shape, bool)
-    cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
-    above, equal = s > cut, s == cut
-    return above | (equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
+    out, step = np.empty(s.shape, bool), max(1, PIECE // s.shape[1])
+    for a in range(0, len(s), step):
+        some = s[a : a + step]
+        cut = np.partition(some, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None].copy()
+        out[a : a + step] = some >= cut
+        tied = np.flatnonzero(out[a : a + step].sum(1) > k)
+        if len(tied):
+            above, equal = some[tied] > cut[tied], some[tied] == cut[tied]
+            out[a + tied] = above | (equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
+    return out
+
+
+def top_pairs(q: np.ndarray, x: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``q`` and of ``x`` of the ``k`` greatest products of each row of ``q``, and these products.
+
+    No more than ``PIECE`` products are held at once, however large a leaf or
+    a shelf is. ``own``: row i of ``q`` is row ``own + i`` of ``x`` and isn't paired with it, unless ``x`` has no more than ``k`` rows.
+    """
+    found, step = [], max(1, PIECE // max(len(x), 1))
+    for a in range(0, len(q), step):
+        s = q[a : a + step] @ x.T
+        if own is not None:
+            s[np.arange(len(s)), np.arange(own + a, own + a + len(s))] = -2
+        i, j = np.nonzero(top_of(s, k))
+        found.append((i + a, j, s[i, j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    i, j, s = map(np.concatenate, zip(*found))
+    return i, j, s
+
+
+def routed(b: pd.DataFrame, index: Index, visits: int, blocks: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Queries (query, own, k, raw), once for each shelf that they visit, with ``shelf``, ``block`` and the ``leaves`` there.
+
+    A query visits more shelves the more rows there are, so these copies come in frames of ``ROUTE_ROWS`` at most.
+    """
+    for t in range(0, len(b), ROUTE_BLOCK):
+        some = b.iloc[t : t + ROUTE_BLOCK]
+        at, shelf, leaves = [], [], []
+        for i, visited in enumerate(index.tree.best_bins(unit(matrix(some["raw"], index.width)), visits)):
+            here: dict[int, list[int]] = {}
+            for leaf in visited:
+                for s in range(index.salts[leaf]):
+                    here.setdefault(int(index.first[leaf]) + s, []).append(leaf)
+            at += [i] * len(here)
+            shelf += here.keys()
+            leaves += here.values()
+        mark = np.array([zlib.crc32(o.encode()) for o in some["own"].fillna("")])
+        for a in range(0, len(at), ROUTE_ROWS):
+            rows, there = at[a : a + ROUTE_ROWS], np.array(shelf[a : a + ROUTE_ROWS])
+            yield some.iloc[rows].reset_index(drop=True).assign(shelf=there, block=(mark[rows] % blocks[there]).astype(np.int32), leaves=leaves[a : a + ROUTE_ROWS])
 
 
 def query_blocks(index: Index, sample: np.ndarray, visits: int, asked: int) -> np.ndarray:
@@ -204,25 +254,10 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix, many = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            out: dict[str, list] = {"at": [], "shelf": [], "leaves": []}
-            for i, leaves in enumerate(ix.tree.best_bins(unit(matrix(b["raw"], width)), visits)):
-                here: dict[int, list[int]] = {}
-                for leaf in leaves:
-                    for s in range(ix.salts[leaf]):
-                        here.setdefault(int(ix.first[leaf]) + s, []).append(leaf)
-                out["at"] += [i] * len(here)
-                out["shelf"] += here.keys()
-                out["leaves"] += here.values()
-            if not out["at"]:
-                continue
-            rows = b.iloc[out["at"]].reset_index(drop=True)
-            mark = np.array([zlib.crc32(o.encode()) for o in b["own"].fillna("")])[out["at"]]
-            yield rows.assign(shelf=out["shelf"], block=(mark % many[out["shelf"]]).astype(np.int32), leaves=out["leaves"])
+            yield from routed(b, ix, visits, many)
 
     queries = queries.where(F.col("query").isNotNull())
-    routed = queries.select("query", "own", "k", "raw").mapInPandas(route, f"query {kind}, own string, k int, raw binary, shelf int, block int, leaves array<int>")
+    sent = queries.select("query", "own", "k", "raw").mapInPandas(route, f"query {kind}, own string, k int, raw binary, shelf int, block int, leaves array<int>")
     parts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks)], "shelf int, blocks int")
     shelved = on_shelves(base, index).join(F.broadcast(parts), "shelf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
@@ -253,11 +288,10 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
             a, z = np.searchsorted(leaf, [one, one + 1])
             if a < z:
                 w = np.array(who)
-                s = q[w] @ x[a:z].T
-                i, j = np.nonzero(top_of(s, wide))
+                i, j, s = top_pairs(q[w], x[a:z], wide)
                 found_q.append(w[i])
                 found_x.append(j + a)
-                found_s.append(s[i, j])
+                found_s.append(s)
         if not found_q:
             return pd.DataFrame()
         fq, fx, fs = map(np.concatenate, (found_q, found_x, found_s))
@@ -276,7 +310,7 @@ def search(base: DataFrame, queries: DataFrame, index: Index, visits: int, keep:
         last = first(np.lexsort((rank[fx], -exact, fq)), ks)
         return pd.DataFrame({"query": asked["query"].to_numpy()[fq[last]], "id": ids[fx[last]], "similarity": exact[last]})
 
-    found = shelved.groupBy("shelf", "block").cogroup(routed.groupBy("shelf", "block")).applyInPandas(meet, f"query {kind}, id string, similarity double")
+    found = shelved.groupBy("shelf", "block").cogroup(sent.groupBy("shelf", "block")).applyInPandas(meet, f"query {kind}, id string, similarity double")
     limits = queries.groupBy("query").agg(F.max("k").alias("k"))
     found = found.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
@@ -485,9 +519,7 @@ def at_home(shelved: DataFrame, bins: Bins, k: int, visits: int, excess: tuple[f
         out = {"least": [], "near": [], "closeness": [], "shelves": [], "bins": []}
         for a in range(0, len(x), QUERY_BLOCK):
             q = x[a : a + QUERY_BLOCK]
-            s = q @ x.T
-            s[np.arange(len(q)), np.arange(a, a + len(q))] = -2
-            i, j = np.nonzero(top_of(s, min(k + 4, s.shape[1])))
+            i, j, _ = top_pairs(q, x, k + 4, own=a)
             exact = np.einsum("ij,ij->i", x64[i + a], x64[j])
             ok = j != i + a
             i, j, exact = i[ok], j[ok], exact[ok]
@@ -541,10 +573,12 @@ def elsewhere(home: DataFrame, index: Index, k: int) -> DataFrame:
                 fq, fx = [], []
                 for n, one in enumerate(here):
                     if who := by.get(int(one)):
-                        w = np.array(who)
-                        i, j = np.nonzero(q[w] @ x[from_[n] : to[n]].T >= least[w, None] - 1e-5)
-                        fq.append(w[i])
-                        fx.append(j + from_[n])
+                        step = max(1, PIECE // int(to[n] - from_[n]))
+                        for a in range(0, len(who), step):
+                            w = np.array(who[a : a + step])
+                            i, j = np.nonzero(q[w] @ x[from_[n] : to[n]].T >= least[w, None] - 1e-5)
+                            fq.append(w[i])
+                            fx.append(j + from_[n])
                 if fq:
                     i, j = np.concatenate(fq), np.concatenate(fx)
                     found = pd.DataFrame({"query": names[i], "id": ids[j], "similarity": np.einsum("ij,ij->i", q64[i], x64[j])})

@@ -8,6 +8,8 @@ import numpy as np
 
 #: Children of a node, rounds of k-means, and leaves of a tree at most (it is sent to all executors).
 BRANCH, ROUNDS, MOST_LEAVES = 16, 8, 8192
+#: Numbers of a matrix of products that are held at once.
+PIECE = 1 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -125,10 +127,10 @@ class Tree:
         A priority queue holds the nodes seen so far by the distance of their
         centroids; the nearest is opened next, wherever it is in the tree.
         """
-        out = []
-        for s in range(0, len(x), 4096):
-            d = self.cc - 2 * (x[s : s + 4096] @ self.c.T)
-            for row in d.tolist() if self.c.shape[0] < 2000 else map(np.ndarray.tolist, d):
+        out, step = [], max(1, PIECE // len(self.c))
+        for s in range(0, len(x), step):
+            d = self.cc - 2 * (x[s : s + step] @ self.c.T)
+            for row in map(np.ndarray.tolist, d):
                 heap, found = [(0.0, 0)], []
                 while heap and len(found) < visits:
                     _, node = heapq.heappop(heap)
